@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, language_id, pieces, quality, sharding, training_order, wordpiece
+from . import decontaminate, html_text, language_id, pieces, quality, sharding, training_order, wordpiece
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.held_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -44,5 +48,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", F.size("language.spans").alias("n_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_sharding, op4_html_text, op5_token_counts, op6_training_order, op8_quality_rules, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_sharding, op4_html_text, op5_token_counts, op6_training_order, op8_quality_rules, op9_decontamination, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
