@@ -24,20 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .pieces import Pieces, default_model, pieces
-
-
-class PackedPieces(Pieces):
-    """Part of text -> its ids as packed 16-bit numbers."""
-
-    def value(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u2").tobytes()
-
-    def packed(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.parts.findall("▁" + text.replace(" ", "▁")))) if text else b""
-
-
-_packers: dict[str, PackedPieces] = {}
+from .pieces import default_model, pieces
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -69,12 +56,12 @@ def sequences(docs: DataFrame, length: int, id: str, text: str, model: str, end_
     """A row for each document: its ids and end id packed, its number of sequences, and the number of those before it in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _packers.setdefault(model, PackedPieces(model)) if model not in _packers else _packers[model]
+        p = pieces(model)
         end, part, before = np.array([end_id], "<u2").tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 512):
-                packed = [p.packed(t.as_py()) + end for t in texts.slice(at, 512)]
+                packed = [p.ids_of(r).astype("<u2").tobytes() + end for r in p.rows(texts.slice(at, 512).to_pylist())]
                 counts = np.array([-(-len(b) // (2 * length)) for b in packed], np.int64)
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
