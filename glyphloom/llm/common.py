@@ -44,3 +44,13 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
+
+
+def fixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once for each row.
+
+    The optimizer moves a projected expression to where it is used, into the body of a
+    lambda or through a filter too, and there it would run for each element. It moves
+    nothing through an explode, here of an array of one.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
