@@ -1,4 +1,415 @@
-"""Queries over the driver tables and the DuckDB text for the same rows."""
+"""Queries over the driver tables, and the DuckDB text for the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import sources
+from ..config import Config
+from ..functions import chars, numbers
+from ..functions.lattice import Terms
+from ..operators import evaluate, grammar, parse, stats
+from ..sources import table, tokens
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# Pieces of SQL that several queries share.
+TOK = r"tok AS (SELECT doc_id, lang, v FROM (SELECT doc_id, lang, unnest(string_split_regex(text, '[\x20\x09-\x0D]+')) AS v FROM documents) WHERE v <> '')"
+RUN = r"(\p{L}+|\p{Nd}+|[^\p{L}\p{Nd}]+)"
+SHAPE_RUN = r"(\p{Nd}+|\p{Ll}+|\p{Lu}+|[^\p{Nd}\p{Ll}\p{Lu}]+)"
+CLASS = r"CASE WHEN regexp_matches(x, '^\p{L}') THEN 'L' WHEN regexp_matches(x, '^\p{Nd}') THEN 'D' ELSE 'S' END"
+SP = f"array_to_string(list_transform(regexp_extract_all(v, '{RUN}', 1), lambda x: {CLASS} || length(x)), ' ')"
+KIND = r"CASE WHEN regexp_matches(x, '^\p{Nd}') THEN 'D' WHEN regexp_matches(x, '^\p{Ll}') THEN 'l' WHEN regexp_matches(x, '^\p{Lu}') THEN 'U' ELSE 'S' END"
+SHAPE = f"coalesce(nullif(array_to_string(list_transform(regexp_extract_all(v, '{SHAPE_RUN}', 1), lambda x: {KIND} || length(x)), ''), ''), 'EMPTY')"
+PATTERN = f"array_to_string(list_transform(regexp_extract_all(v, '{SHAPE_RUN}', 1), lambda x: CASE WHEN {KIND} = 'S' THEN x ELSE {KIND} || length(x) END), '')"
+STRUCTURES = f"{TOK}, st AS (SELECT {SP} AS sp, count(*) AS cnt FROM tok GROUP BY 1)"
+EMISSIONS = f"{TOK}, em AS (SELECT {CLASS} || length(x) AS label, x AS surface, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(v, '{RUN}', 1)) AS x FROM tok) GROUP BY 1, 2)"
+TRAIN = f"{TOK}, train AS (SELECT v, count(*) AS cnt FROM tok WHERE doc_id % 5 <> 0 GROUP BY v), rk AS (SELECT v, cnt, row_number() OVER (ORDER BY cnt DESC, v) AS rn FROM train), test AS (SELECT lang, v FROM tok WHERE doc_id % 5 = 0)"
+MASKED = "#sha256:"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _structures(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.structure_counts(tokens(spark, d))
+
+
+def _emissions(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.emission_counts(tokens(spark, d))
+
+
+def _train(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).where("doc_id % 5 <> 0").groupBy(F.col("v").alias("value")).agg(F.count("*").alias("cnt"))
+
+
+def _test(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).where("doc_id % 5 = 0").select("lang", "v")
+
+
+@query(f"WITH {TOK} SELECT length(v) AS len, count(*) AS cnt, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM tok) AS pct FROM tok GROUP BY 1")
+def length_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return stats.length_histogram(tokens(spark, d))
+
+
+@query(f"WITH {TOK} SELECT avg(length(v)) AS avg_len, count(*) AS n FROM tok WHERE length(v) <= 30")
+def avg_length_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return stats.average_length(tokens(spark, d))
+
+
+def _affix_sql(affix: str, core: str) -> str:
+    return rf"WITH {TOK}, cut AS (SELECT {affix} AS affix, {core} AS core FROM tok, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE length(v) - n >= 4) SELECT affix, count(*) AS cnt FROM cut WHERE regexp_matches(affix, '{chars.AFFIX}') AND regexp_matches(core, '[A-Za-z]') GROUP BY 1"
+
+
+@query(_affix_sql("v[1:n]", "v[n + 1:]"))
+def prefix_freq(spark: SparkSession, d: str) -> DataFrame:
+    return stats.affixes(tokens(spark, d))
+
+
+@query(_affix_sql("right(v, n)", "left(v, length(v) - n)"))
+def suffix_freq(spark: SparkSession, d: str) -> DataFrame:
+    return stats.affixes(tokens(spark, d), end=True)
+
+
+_POLICY = "length(v) >= 9 AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')"
+
+
+@query(f"WITH {TOK} SELECT count(*) AS n, count(*) FILTER ({_POLICY}) AS policy_basic, count(*) FILTER ({_POLICY} AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')) AS policy_cases FROM tok")
+def policy_flags(spark: SparkSession, d: str) -> DataFrame:
+    return stats.policy_flags(tokens(spark, d))
+
+
+@query(f"WITH {TOK} SELECT {CLASS} AS label, length(x) AS len, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(v, '{RUN}', 1)) AS x FROM tok) GROUP BY 1, 2")
+def lds_segments(spark: SparkSession, d: str) -> DataFrame:
+    runs = tokens(spark, d).select(F.explode(chars.runs(F.col("v"))).alias("x"))
+    return runs.groupBy(chars.run_class(F.col("x")).alias("label"), F.length("x").alias("len")).agg(F.count("*").alias("cnt"))
+
+
+@query(f"WITH {STRUCTURES} SELECT sp, cnt, cnt * 1.0::DOUBLE / (SELECT sum(cnt) FROM st) AS p FROM st")
+def structure_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.normalise(_structures(spark, d))
+
+
+@query(f"WITH {STRUCTURES} SELECT sp, cnt FROM st ORDER BY cnt DESC, sp LIMIT 20")
+def top_structures(spark: SparkSession, d: str) -> DataFrame:
+    return _structures(spark, d).orderBy(F.desc("cnt"), "sp").limit(20)
+
+
+@query(f"WITH {STRUCTURES} SELECT avg(length(sp) - length(replace(sp, ' ', '')) + 1) AS avg_size, count(*) AS n_structures FROM st")
+def average_structure_length(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.average_structure_length(_structures(spark, d))
+
+
+@query(f"WITH {TOK} SELECT {SHAPE} AS shape, count(*) AS cnt FROM tok GROUP BY 1")
+def shape_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).groupBy(chars.shape(F.col("v")).alias("shape")).agg(F.count("*").alias("cnt"))
+
+
+@query(f"WITH {TOK}, m AS (SELECT {PATTERN} AS pattern, count(*) AS cnt FROM tok GROUP BY 1) SELECT pattern, cnt, cnt * 1.0::DOUBLE / (SELECT sum(cnt) FROM m) AS p FROM m")
+def pattern_mass(spark: SparkSession, d: str) -> DataFrame:
+    return stats.with_share(tokens(spark, d).groupBy(chars.pattern(F.col("v")).alias("pattern")).agg(F.count("*").alias("cnt")))
+
+
+@query(f"WITH {EMISSIONS}, r AS (SELECT label, surface AS v, cnt, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, surface) AS rn FROM em) SELECT label, {SHAPE} || '{MASKED}' || left(sha256(v), 10) AS masked, cnt, rn FROM r WHERE rn <= 20")
+def masked_top_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.top_by(_emissions(spark, d), "surface", "label", 20).select("label", chars.masked(F.col("surface")).alias("masked"), "cnt", F.col("rn").cast("long").alias("rn"))
+
+
+def _digits_sql() -> str:
+    y, yy = "CAST(v[1:4] AS INT) BETWEEN 1950 AND 2015", "CASE WHEN CAST(v[1:2] AS INT) <= 15 THEN 2000 + CAST(v[1:2] AS INT) WHEN CAST(v[1:2] AS INT) >= 50 THEN 1900 + CAST(v[1:2] AS INT) END"
+
+    def date(year: str, m: str, d: str) -> str:
+        return f"try_strptime(({year}) || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0'), '%Y-%m-%d') IS NOT NULL"
+
+    def splits(year: str, at: int, size: int) -> str:
+        return "(" + " OR ".join(date(year, f"v[{at}:{at + m - 1}]", f"v[{at + m}:{at + size - 1}]") for m in (1, 2) if 1 <= size - m <= 2) + ")"
+
+    n = "length(v)"
+    return f"""CASE WHEN regexp_matches(v, '{numbers.MOBILE}') THEN 'cn_mobile' WHEN {n} = 4 AND {y} THEN 'year'
+        WHEN {n} = 6 AND {date(yy, 'v[3:4]', 'v[5:6]')} THEN 'yymmdd' WHEN {n} = 8 AND {y} AND {date('v[1:4]', 'v[5:6]', 'v[7:8]')} THEN 'yyyymmdd'
+        WHEN {n} = 6 AND {y} AND CAST(v[5:6] AS INT) BETWEEN 1 AND 12 THEN 'yyyymm' WHEN {n} = 5 AND {y} AND v[5:5] <> '0' THEN 'yyyymm_nopad'
+        WHEN {n} = 4 AND {date("'2000'", 'v[1:2]', 'v[3:4]')} THEN 'mmdd' WHEN {n} = 3 AND {splits("'2000'", 1, 3)} THEN 'mmdd_nopad' WHEN {n} = 2 AND {splits("'2000'", 1, 2)} THEN 'mmdd_nopad'
+        WHEN {n} = 4 AND {splits(yy, 3, 2)} THEN 'yymmdd_nopad' WHEN {n} = 5 AND {splits(yy, 3, 3)} THEN 'yymmdd_nopad' WHEN {n} = 6 AND {splits(yy, 3, 4)} THEN 'yymmdd_nopad'
+        WHEN {n} = 6 AND {y} AND {splits('v[1:4]', 5, 2)} THEN 'yyyymmdd_nopad' WHEN {n} = 7 AND {y} AND {splits('v[1:4]', 5, 3)} THEN 'yyyymmdd_nopad' WHEN {n} = 8 AND {y} AND {splits('v[1:4]', 5, 4)} THEN 'yyyymmdd_nopad'
+        ELSE 'number' || {n} END"""
+
+
+_FORMATS = {"yyyyMMdd": "%Y%m%d", "yyMMdd": "%y%m%d", "yyyyMM": "%Y%m", "MMdd": "%m%d", "yyyyMd": "%Y%-m%-d", "yyMd": "%y%-m%-d", "Md": "%-m%-d", "yyyyM": "%Y%-m", "yyyy": "%Y"}
+
+
+@query(
+    f"WITH {TOK}, dg AS (SELECT unnest(regexp_extract_all(v, '[0-9]+')) AS v FROM tok UNION ALL SELECT unnest([{', '.join(f"strftime(o_orderdate, '{f}')" for f in _FORMATS.values())}]) AS v FROM orders "
+    f"UNION ALL SELECT CAST(13000000000 + o_orderkey * 997 AS VARCHAR) AS v FROM orders) SELECT {_digits_sql()} AS label, count(*) AS cnt, count(DISTINCT v) AS n_values FROM dg GROUP BY 1"
+)
+def number_labels(spark: SparkSession, d: str) -> DataFrame:
+    found = tokens(spark, d).select(F.explode(F.regexp_extract_all("v", F.lit("([0-9]+)"), F.lit(1))).alias("v"))
+    orders = table(spark, d, "orders")
+    dates = orders.select(F.explode(F.array(*[F.date_format("o_orderdate", f) for f in _FORMATS])).alias("v"))
+    phones = orders.select((F.lit(13000000000) + F.col("o_orderkey") * 997).cast("string").alias("v"))
+    distinct = found.unionByName(dates).unionByName(phones).groupBy("v").agg(F.count("*").alias("m"))
+    return distinct.groupBy(numbers.number_label(F.col("v")).alias("label")).agg(F.sum("m").alias("cnt"), F.count("*").alias("n_values"))
+
+
+@query(f"WITH {EMISSIONS}, t AS (SELECT label, sum(cnt) AS total FROM em GROUP BY 1) SELECT label, left(sha256(surface), 16) AS surface_id, cnt, cnt * 1.0::DOUBLE / total AS p FROM em JOIN t USING (label)")
+def emission_probs(spark: SparkSession, d: str) -> DataFrame:
+    df = grammar.normalise(_emissions(spark, d), "label")
+    return df.select("label", F.left(F.sha2("surface", 256), F.lit(16)).alias("surface_id"), "cnt", "p")
+
+
+@query(
+    f"WITH {STRUCTURES}, r AS (SELECT sp, cnt, sum(cnt) OVER (ORDER BY cnt DESC, sp ROWS UNBOUNDED PRECEDING) - cnt AS before, sum(cnt) OVER () AS total FROM st), k AS (SELECT * FROM r WHERE before < 0.98::DOUBLE * total) SELECT sp, cnt, cnt * 1.0::DOUBLE / (SELECT sum(cnt) FROM k) AS p FROM k"
+)
+def mass_prune_structures(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.mass_prune(_structures(spark, d), "sp", 0.98)
+
+
+@query(
+    f"WITH {EMISSIONS}, r AS (SELECT label, surface, cnt, sum(cnt) OVER (PARTITION BY label ORDER BY cnt DESC, surface ROWS UNBOUNDED PRECEDING) - cnt AS before, sum(cnt) OVER (PARTITION BY label) AS total FROM em), k AS (SELECT * FROM r WHERE before < 0.99::DOUBLE * total) "
+    "SELECT label, left(sha256(surface), 16) AS surface_id, cnt, cnt * 1.0::DOUBLE / sum(cnt) OVER (PARTITION BY label) AS p FROM k"
+)
+def mass_prune_emissions(spark: SparkSession, d: str) -> DataFrame:
+    df = grammar.mass_prune(_emissions(spark, d), "surface", 0.99, "label")
+    return df.select("label", F.left(F.sha2("surface", 256), F.lit(16)).alias("surface_id"), "cnt", "p")
+
+
+@query(
+    f"WITH {EMISSIONS}, r AS (SELECT label, surface, cnt, sum(cnt) OVER (PARTITION BY label ORDER BY cnt DESC, surface ROWS UNBOUNDED PRECEDING) - cnt AS before, sum(cnt) OVER (PARTITION BY label) AS total, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, surface) AS rn FROM em) "
+    "SELECT label, left(sha256(surface), 16) AS surface_id, rn, cnt * 1.0::DOUBLE / total AS p FROM r WHERE before < 0.5::DOUBLE * total"
+)
+def label_trim(spark: SparkSession, d: str) -> DataFrame:
+    df = grammar.trim(_emissions(spark, d), "surface", "label", share=0.5)
+    return df.select("label", F.left(F.sha2("surface", 256), F.lit(16)).alias("surface_id"), "rn", "p")
+
+
+@query(f"WITH {STRUCTURES}, r AS (SELECT cnt, sum(cnt) OVER (ORDER BY cnt DESC, sp ROWS UNBOUNDED PRECEDING) - cnt AS before, sum(cnt) OVER () AS total FROM st) SELECT min(cnt * 1.0::DOUBLE / total) AS min_p, count(*) AS n_values FROM r WHERE before < 0.9::DOUBLE * total")
+def min_prob_for_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.least_p_for(_structures(spark, d), "sp", 0.9)
+
+
+@query(f"WITH {STRUCTURES}, other AS (SELECT {SHAPE} AS sp, count(*) AS cnt FROM tok GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (p > 0.001) AS n_large FROM (SELECT sp, sum(p) AS p FROM (SELECT sp, cnt * 0.7::DOUBLE / (SELECT sum(cnt) FROM st) AS p FROM st UNION ALL SELECT sp, cnt * 0.3::DOUBLE / (SELECT sum(cnt) FROM other) FROM other) GROUP BY 1)")
+def mixed_distribution(spark: SparkSession, d: str) -> DataFrame:
+    a = grammar.normalise(_structures(spark, d))
+    b = stats.with_share(shape_distribution(spark, d).withColumnRenamed("shape", "sp"))
+    return grammar.mix(a, b, "sp", 0.7).agg(F.count("*").alias("n"), F.count_if(F.col("p") > 0.001).alias("n_large"))
+
+
+_KS = list(range(1000, 10001, 1000))
+
+
+@query(f"WITH {TRAIN} SELECT k, count(*) FILTER (rn <= k) * 1.0::DOUBLE / count(*) AS rate FROM test LEFT JOIN rk USING (v), (SELECT unnest({_KS}) AS k) GROUP BY k")
+def coverage_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.coverage(_test(spark, d), grammar.ranked(_train(spark, d), "value"), _KS)
+
+
+@query(f"WITH {TRAIN} SELECT k, count(*) FILTER (rn <= k) * 1.0::DOUBLE / count(*) AS rate FROM test LEFT JOIN rk USING (v), (SELECT unnest(range(100::BIGINT, 30001, 100)) AS k) GROUP BY k")
+def coverage_curve(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.curve(_test(spark, d), grammar.ranked(_train(spark, d), "value"), 100, 30_000)
+
+
+@query(
+    f"WITH {TOK}, train AS (SELECT lang, v, count(*) AS cnt FROM tok WHERE doc_id % 5 <> 0 GROUP BY 1, 2), rk AS (SELECT lang, v, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, v) AS rn FROM train), test AS (SELECT lang, v FROM tok WHERE doc_id % 5 = 0) "
+    f"SELECT lang, k, count(*) FILTER (rn <= k) * 1.0::DOUBLE / count(*) AS rate FROM test LEFT JOIN rk USING (lang, v), (SELECT unnest({_KS}) AS k) GROUP BY 1, 2"
+)
+def multi_model_coverage(spark: SparkSession, d: str) -> DataFrame:
+    train = tokens(spark, d).where("doc_id % 5 <> 0").groupBy("lang", F.col("v").alias("value")).agg(F.count("*").alias("cnt"))
+    return evaluate.coverage(_test(spark, d), grammar.ranked(train, "value", "lang"), _KS, by="lang")
+
+
+@query(f"WITH {TRAIN} SELECT count(*) AS n, count(rn) AS n_hit, coalesce(sum(coalesce(rn, 30001)), 0)::BIGINT AS sum_rank FROM test LEFT JOIN rk USING (v)")
+def hash_lookup(spark: SparkSession, d: str) -> DataFrame:
+    found = evaluate.hits(_test(spark, d), grammar.ranked(_train(spark, d), "value"))
+    return found.agg(F.count("*").alias("n"), F.count("rn").alias("n_hit"), F.sum(F.coalesce("rn", F.lit(30001))).alias("sum_rank"))
+
+
+@query(
+    f"WITH {TRAIN}, up AS (SELECT v, cnt, rn, lag(cnt) OVER (ORDER BY rn) AS b FROM rk) SELECT count(*) AS total, count(DISTINCT v) AS n_unique, 0::BIGINT AS n_repeated, 0::BIGINT AS n_extra, count(*) FILTER (cnt > b) AS n_rising FROM up"
+)
+def rank_audit(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.rank_audit(grammar.ranked(_train(spark, d), "value"), p="cnt")
+
+
+@query(f"WITH {TOK}, c AS (SELECT v, count(*) AS c FROM tok GROUP BY 1) SELECT sum(c)::BIGINT AS total, count(*) AS n_unique, count(*) FILTER (c > 1) AS n_groups, sum(c - 1)::BIGINT AS n_extra FROM c")
+def duplicate_audit(spark: SparkSession, d: str) -> DataFrame:
+    return stats.duplicate_audit(tokens(spark, d))
+
+
+_MAIL = rf"{TOK}, mail AS (SELECT v, split_part(v, '@', 1) AS loc, regexp_replace(v, '^[^@]*@', '') AS host FROM tok WHERE regexp_matches(v, '{chars.EMAIL}'))"
+
+
+@query(
+    rf"WITH {_MAIL}, parts AS (SELECT v, loc, string_split(host, '.') AS l, host FROM mail) SELECT left(sha256(v), 16) AS email_id, length(loc) AS local_len, CASE WHEN len(l) >= 3 THEN l[-3] WHEN len(l) = 2 THEN l[1] ELSE host END AS main_label, count(*) AS cnt FROM parts GROUP BY 1, 2, 3"
+)
+def email_parts(spark: SparkSession, d: str) -> DataFrame:
+    mail = tokens(spark, d).where(F.col("v").rlike(chars.EMAIL))
+    return mail.groupBy(F.left(F.sha2("v", 256), F.lit(16)).alias("email_id"), F.length(chars.email_local(F.col("v"))).alias("local_len"), chars.email_domain(F.col("v")).alias("main_label")).agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (c_custkey % 3 = 0) AS n_same, CASE WHEN count(*) > 0 THEN count(*) FILTER (c_custkey % 3 = 0) * 1.0::DOUBLE / count(*) ELSE 0 END AS rate FROM customer")
+def match_rate(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    made = c.select(F.concat(name, F.lit("@a.example.org")).alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.upper(name)).otherwise(F.concat(name, F.lit("x"))).alias("v"))
+    return stats.match_rate(made, "k", "v")
+
+
+@query("WITH p AS (SELECT c_name AS k, CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name || '7' WHEN 2 THEN 'x' || c_custkey ELSE '' END AS v FROM customer) SELECT CASE WHEN lower(k) = lower(v) THEN 'same' WHEN contains(lower(v), lower(k)) THEN 'contains' ELSE 'none' END AS relation, count(*) AS cnt FROM p WHERE v <> '' GROUP BY 1")
+def relation_label(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    v = F.when(k == 0, F.upper("c_name")).when(k == 1, F.concat("c_name", F.lit("7"))).when(k == 2, F.concat(F.lit("x"), F.col("c_custkey").cast("string"))).otherwise("")
+    made = sources.pairs(table(spark, d, "customer").select("c_name", v.alias("v")), "c_name", "v")
+    return made.groupBy(stats.relation(F.col("key"), F.col("value")).alias("relation")).agg(F.count("*").alias("cnt"))
+
+
+_DICT = f"{TOK}, dict AS (SELECT v AS term FROM tok WHERE regexp_matches(v, '^[a-z]{{4,12}}$') GROUP BY v HAVING count(*) >= 20)"
+
+
+def _dictionary(spark: SparkSession, d: str) -> DataFrame:
+    plain = tokens(spark, d).where(F.col("v").rlike("^[a-z]{4,12}$"))
+    return plain.groupBy(F.col("v").alias("term")).agg(F.count("*").alias("c")).where("c >= 20").select("term")
+
+
+@query(f"WITH {_DICT}, m AS (SELECT v, translate(lower(v), '{chars.LEET_FROM}', '{chars.LEET_TO}') AS t FROM tok) SELECT count(*) AS n, count(*) FILTER (t <> lower(v) AND length(v) >= 4) AS n_leet FROM m JOIN dict ON t = term")
+def leet_lookup(spark: SparkSession, d: str) -> DataFrame:
+    found = tokens(spark, d).withColumn("term", chars.leet(F.col("v"))).join(_dictionary(spark, d), "term")
+    return found.agg(F.count("*").alias("n"), F.count_if((F.col("term") != F.lower("v")) & (F.length("v") >= 4)).alias("n_leet"))
+
+
+@query(f"WITH {_DICT}, w AS (SELECT v, count(*) AS m FROM tok WHERE length(v) >= 4 GROUP BY 1), s AS (SELECT m, i, lower(v[i:i + n - 1]) AS term FROM w, (SELECT unnest(range(1, 200)) AS i), (SELECT unnest(range(4, 13)) AS n) WHERE i + n - 1 <= length(v)) SELECT term, sum(m)::BIGINT AS n_found, count(*) AS n_places FROM s JOIN dict USING (term) GROUP BY 1")
+def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
+    distinct = tokens(spark, d).where(F.length("v") >= 4).groupBy("v").agg(F.count("*").alias("m")).where(F.length("v") <= 210)
+    found = stats.contains_terms(distinct, _dictionary(spark, d), longest=12, shortest=4).where("at < 200")
+    return found.groupBy("term").agg(F.sum("m").alias("n_found"), F.count("*").alias("n_places"))
+
+
+@query(f"WITH {_DICT}, w AS (SELECT v AS term, 'common' AS label FROM tok WHERE regexp_matches(v, '^[a-z]{{4,12}}$') GROUP BY v HAVING count(*) >= 200), both_ AS (SELECT * FROM w UNION ALL SELECT term, 'word' FROM dict WHERE term NOT IN (SELECT term FROM w)) SELECT label, count(*) AS n FROM both_ GROUP BY 1")
+def dictionary_precedence(spark: SparkSession, d: str) -> DataFrame:
+    plain = tokens(spark, d).where(F.col("v").rlike("^[a-z]{4,12}$"))
+    common = plain.groupBy(F.col("v").alias("term")).agg(F.count("*").alias("c")).where("c >= 200").select("term", F.lit("common").alias("label"))
+    return stats.precedence(common, _dictionary(spark, d).withColumn("label", F.lit("word"))).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE doc_id >= 200 AND doc_id < 400")
+def batch_scan(spark: SparkSession, d: str) -> DataFrame:
+    return sources.batch(table(spark, d, "documents"), "doc_id", 1, 200).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT max(doc_id) AS max_id, count(*) AS n FROM documents")
+def max_id(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").agg(F.max("doc_id").alias("max_id"), F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sources.first_rows(table(spark, d, "documents").select("doc_id"), 100, "doc_id")
+
+
+@query(f"WITH {TOK} SELECT doc_id, count(*) AS n FROM tok WHERE doc_id % 10 = 3 GROUP BY 1")
+def sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).where("doc_id % 10 = 3").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT name, count(*) FILTER (v IS NULL) AS n_null, count(*) FILTER (v = '') AS n_empty, count(*) FILTER (v <> '') AS n_usable FROM (SELECT 'text' AS name, text AS v FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY 1")
+def row_accounting(spark: SparkSession, d: str) -> DataFrame:
+    return sources.accounting(table(spark, d, "documents"), "text", "lang", "source")
+
+
+@query(f"WITH {TOK}, ps AS (SELECT k || '@' || v AS v FROM (SELECT lang AS k, v FROM tok)), st AS (SELECT {SP} AS sp, count(*) AS cnt FROM ps GROUP BY 1) SELECT sp, cnt, cnt * 1.0::DOUBLE / (SELECT sum(cnt) FROM st) AS p FROM st")
+def integer_baseline(spark: SparkSession, d: str) -> DataFrame:
+    joined = tokens(spark, d).select(F.concat("lang", F.lit("@"), "v").alias("v"))
+    return grammar.normalise(grammar.structure_counts(joined))
+
+
+@query(
+    f"WITH {EMISSIONS}, st AS (SELECT {SP} AS sp, count(*) AS cnt FROM tok GROUP BY 1), a AS (SELECT 'structure' AS kind, '' AS label, sp AS shown, cnt FROM st ORDER BY cnt DESC, sp LIMIT 100), r AS (SELECT label, surface AS v, cnt, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, surface) AS rn FROM em) "
+    f"SELECT * FROM a UNION ALL SELECT 'surface', label, {SHAPE} || '{MASKED}' || left(sha256('pepper' || v), 10), cnt FROM r WHERE rn <= 20"
+)
+def redacted_report(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.report(_structures(spark, d), _emissions(spark, d), salt="pepper")
+
+
+def _distinct(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).groupBy("v").agg(F.count("*").alias("m"))
+
+
+def _pattern_counts(spark: SparkSession, d: str, start: str) -> DataFrame:
+    found = parse.segments(_distinct(spark, d)).select("m", F.explode("segs").alias("s")).where(F.col("s.label").rlike(f"^{start}[0-9]+$"))
+    return found.groupBy(F.col("s.label").alias("label")).agg(F.sum("m").alias("cnt"), F.count("*").alias("n_values"))
+
+
+@query()
+def repeat_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _pattern_counts(spark, d, "sr")
+
+
+@query()
+def alpha_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _pattern_counts(spark, d, "alpha")
+
+
+@query()
+def keyboard_walks(spark: SparkSession, d: str) -> DataFrame:
+    return _pattern_counts(spark, d, "kb")
+
+
+#: Terms that the parser takes at most; the likeliest first.
+MOST_TERMS = 5_000
+
+
+def _terms(spark: SparkSession, d: str) -> Terms:
+    plain = tokens(spark, d).where(F.col("v").rlike(r"^\p{Ll}{3,12}$")).groupBy("v").agg(F.count("*").alias("c"))
+    rows = plain.where("c >= 5").orderBy(F.desc("c"), "v").limit(MOST_TERMS).collect()
+    return Terms(words=frozenset(r["v"] for r in rows), syllables=frozenset(r["v"] for r in rows if len(r["v"]) <= 3))
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return parse.samples(parse.parses(tokens(spark, d), _terms(spark, d), Config.from_env()))
+
+
+@query()
+def kbest_parses(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(spark, d).select(chars.masked(F.col("v")).alias("value_id"), "sp", F.round("logp", 9).alias("logp"), F.round("w", 9).alias("w"), "m")
+
+
+@query()
+def soft_structure_probs(spark: SparkSession, d: str) -> DataFrame:
+    return grammar.normalise(parse.soft_structures(_samples(spark, d))).select("sp", F.round("cnt", 6).alias("cnt"), F.round("p", 9).alias("p"))
+
+
+@query()
+def soft_emission_probs(spark: SparkSession, d: str) -> DataFrame:
+    df = grammar.normalise(parse.soft_emissions(_samples(spark, d)), "label")
+    return df.select("label", F.left(F.sha2("surface", 256), F.lit(16)).alias("surface_id"), F.round("cnt", 6).alias("cnt"), F.round("p", 9).alias("p"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    s = _samples(spark, d).persist()  # parsed once for three uses
+    return parse.scores(s, grammar.normalise(parse.soft_structures(s)), grammar.normalise(parse.soft_emissions(s), "label"))
+
+
+@query()
+def score_values(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select(chars.masked(F.col("v")).alias("value_id"), F.round("log_p", 6).alias("log_p"))
+
+
+#: Values drawn for the guess-number estimate.
+DRAWN = 10_000
+
+
+@query()
+def guess_number(spark: SparkSession, d: str) -> DataFrame:
+    scored = _scored(spark, d)
+    # Occurrences of values are drawn, which is drawing by the chances that the corpus gives.
+    drawn = tokens(spark, d).orderBy(F.xxhash64("doc_id", "v")).limit(DRAWN).join(scored, "v").select("log_p")
+    out = parse.guess_numbers(scored, drawn)
+    return out.groupBy(F.floor("log10_guesses").cast("long").alias("log10_guesses")).agg(F.count("*").alias("n_values"))
