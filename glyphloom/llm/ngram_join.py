@@ -165,16 +165,23 @@ def _costs(shared: DataFrame, params: JoinParams, whole: bool, name: str) -> Dat
     return staged(df.withColumn("least", _least(params, whole) - F.col("k")), name)
 
 
-def _pairs(shared: DataFrame, costs: DataFrame, params: JoinParams, name: str) -> DataFrame:
-    """The pairs of sets (a, b) with enough cheap shingles in common. Each such shingle is in fewer than ``costly`` rows, so the pairs grow with the rows."""
-    cheap = shared.where(F.col("df") < params.costly).select("token", "key", "n").distinct()
-    other = cheap.select("token", F.col("key").alias("b"), F.col("n").alias("m"))
+def _both(n: str, m: str, params: JoinParams) -> Column:
+    """What two similar sets of these sizes share at least."""
+    return F.ceil((F.col(n) + F.col(m)) * params.percent / (100 + params.percent))
+
+
+def _pairs(shared: DataFrame, costs: DataFrame, params: JoinParams, whole: bool) -> DataFrame:
+    """The pairs of sets (a, b) with enough cheap shingles in common. Each such shingle is in fewer than ``costly`` rows, so the pairs grow with the rows.
+
+    Of short prefixes, pairs with a set whose prefix does; of whole sets, pairs that must share
+    more than the costly shingles of one of them. Others are found elsewhere.
+    """
+    cheap = shared.where(F.col("df") < params.costly).select("token", "key", "n").distinct().join(costs.select("key", "k", "least"), "key")
+    other = cheap.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("k").alias("kb"), F.col("least").alias("lb"))
     near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * params.percent) & (F.col("key") < F.col("b"))
-    pairs = cheap.join(other, "token").where(near).groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("common"))
-    pairs = staged(pairs, f"{name}-counted")
-    a, b = costs.select(F.col("key").alias("a"), F.col("least").alias("la")), costs.select(F.col("key").alias("b"), F.col("least").alias("lb"))
-    # The larger of the two bounds holds for both: each follows from its own set's costly shingles.
-    return pairs.join(a, "a").join(b, "b").where(F.col("common") >= F.greatest("la", "lb")).select("a", "b")
+    need = _both("n", "m", params) - F.least("k", "kb") if whole else F.greatest("least", "lb")
+    pairs = cheap.join(other, "token").where(near & (need > 0)).groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("common"), F.min(need).alias("need"))
+    return pairs.where("common >= need").select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, params: JoinParams, name: str) -> DataFrame:
@@ -201,19 +208,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, params: Joi
 
 
 def _crowded(shared: DataFrame, costs: DataFrame, texts: DataFrame, firsts: DataFrame, links: DataFrame, params: JoinParams) -> DataFrame:
-    """More links, among sets of which even the whole has too many costly shingles."""
+    """More links, among sets of which even the whole has so many costly shingles that these alone could make them similar."""
     full = costs.where("least <= 0").select("key", "k")
-    rows = staged(shared.where(F.col("df") >= params.costly).select("token", "key", "n", "rank").join(full, "key").distinct(), "crowd")
-    hubs = staged(rows.groupBy("token").agg(F.max(F.struct("k", "key")).alias("hub")).select("token", F.col("hub.key").alias("hub")), "crowd-hubs")
-    stars = rows.join(hubs, "token").where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    rows = staged(shared.select("token", "key", "n", "rank", "df").join(full, "key").distinct(), "crowd")
+    hot = rows.where(F.col("df") >= params.costly)
+    hubs = staged(hot.groupBy("token").agg(F.max(F.struct("k", "key")).alias("hub")).select("token", F.col("hub.key").alias("hub")), "crowd-hubs")
+    stars = hot.join(hubs, "token").where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     links = links.unionByName(_verified(stars, texts, firsts, params, "crowd-star"))
     groups = staged(components(links, name="crowd-groups"), "crowd-groups")
     prefix = rows.where(F.col("rank") < F.col("n") - F.ceil(F.col("n") * params.percent / 100) + 1)
-    placed = staged(prefix.join(groups, prefix["key"] == groups["node"], "left").select("token", "key", "n", F.coalesce("root", "key").alias("root")), "crowd-placed")
+    placed = staged(prefix.join(groups, prefix["key"] == groups["node"], "left").select("token", "key", "n", "k", F.coalesce("root", "key").alias("root")), "crowd-placed")
     apart = staged(placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token"), "crowd-apart")
     rest = staged(placed.join(apart, "token", "left_semi"), "crowd-rest")
-    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "root")])
-    near = F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * params.percent
+    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "k", "root")])
+    near = (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * params.percent) & (_both("n", "n_b", params) <= F.least("k", "k_b"))
     cross = rest.join(other, "token").where((F.col("root") < F.col("root_b")) & near).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
     return links.unionByName(_verified(cross, texts, firsts, params, "crowd-cross"))
 
@@ -225,13 +233,13 @@ def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", params:
     firsts = staged(keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("id")), "first-ids")
     shared = _shared(_shown(texts, params, False), "shared")
     costs = _costs(shared, params, False, "costs")
-    links = _verified(_pairs(shared, costs, params, "near"), texts, firsts, params, "near")
+    links = _verified(_pairs(shared, costs, params, False), texts, firsts, params, "near")
     # Sets whose prefix doesn't do show all they have.
     longer = costs.where("least <= 0").select("key")
     again = texts.join(firsts.join(longer, "key", "left_semi").select("id"), "id", "left_semi")
     shared = _shared(_shown(again, params, True), "shared-whole")
     costs = _costs(shared, params, True, "costs-whole")
-    links = links.unionByName(_verified(_pairs(shared, costs, params, "whole"), texts, firsts, params, "whole"))
+    links = links.unionByName(_verified(_pairs(shared, costs, params, True), texts, firsts, params, "whole"))
     links = _crowded(shared, costs, texts, firsts, links, params)
     groups = components(links, name="set-groups")
     rooted = firsts.join(groups, firsts["key"] == groups["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
