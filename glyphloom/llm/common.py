@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: The white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
+# Punctuation and symbols, ASCII and the common blocks beyond.
+PUNCTUATION = r"[!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b8\u00bb-\u00bf\u2010-\u2060\u20a0-\u20bf\u2190-\u2bff\u3001-\u303f\uff01-\uff0f]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
