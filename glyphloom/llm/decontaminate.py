@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import PUNCTUATION, fixed, words_of
 
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 PLACEHOLDERS = f"{NAME}-{UNIT}"
@@ -44,24 +44,29 @@ class DecontaminationParams:
 
 def template_words(text: Column) -> Column:
     """Words of a text, lower-cased, without punctuation; a placeholder word starts with its type, and its value follows."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{PLACEHOLDERS}]", "")
+    t = F.coalesce(text, F.lit(""))
+    for c in (NAME, NUMBER, UNIT):
+        t = F.replace(t, F.lit(c), F.lit(""))
     t = F.regexp_replace(t, r"(\p{Lu}(?<=[\p{L},;] .)[\p{L}'’-]*)", f"{NAME}$1")
     t = F.regexp_replace(F.lower(t), r"([0-9]+(?:[.,:/][0-9]+)*)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"({NUMBER}[0-9.,:/]+ ?)({'|'.join(UNITS.split())})\b", f"$1{UNIT}$2")
-    return words_of(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{PLACEHOLDERS}\x20\x09-\x0D]+", ""))
+    return words_of(F.regexp_replace(t, PUNCTUATION, ""))
+
+
+def _slot(word: Column) -> Column:
+    """Whether a word is a placeholder: these begin with one of three neighbouring characters."""
+    return (word >= NAME) & (word < chr(ord(UNIT) + 1))
 
 
 def windows(texts: DataFrame, id: str, text: str, size: int) -> DataFrame:
     """A row for each window: id, at (its first word, from 0), hash, values (null without placeholders), n (windows in the text)."""
-    df = texts.select(F.col(id).alias("id"), template_words(F.col(text)).alias("words")).where(F.size("words") >= size)
-    slotted = F.exists("words", lambda w: w.rlike(f"^[{PLACEHOLDERS}]"))
-    df = df.withColumn("slotted", slotted)
-    value = lambda w: F.when(w.rlike(f"^[{PLACEHOLDERS}]"), w)
-    template = lambda w: F.regexp_replace(w, f"([{PLACEHOLDERS}])[^{PLACEHOLDERS}]*", "$1")
-    df = df.withColumn("hashes", F.when(F.col("slotted"), F.transform("words", lambda w: F.xxhash64(F.when(w.rlike(f"^[{PLACEHOLDERS}]"), template(w)).otherwise(w)))).otherwise(F.transform("words", lambda w: F.xxhash64(w))))
+    df = fixed(texts.select(F.col(id).alias("id"), F.col(text).alias("text")), "words", template_words(F.col("text"))).drop("text").where(F.size("words") >= size)
+    df = fixed(df, "slotted", F.exists("words", _slot))
+    value = lambda w: F.when(_slot(w), w)
+    template = lambda w: F.xxhash64(F.when(_slot(w), F.regexp_replace(w, f"([{PLACEHOLDERS}])[^{PLACEHOLDERS}]*", "$1")).otherwise(w))
+    df = df.withColumn("hashes", F.when(F.col("slotted"), F.transform("words", template)).otherwise(F.transform("words", lambda w: F.xxhash64(w))))
     df = df.withColumn("values", F.when(F.col("slotted"), F.transform("words", value)))
-    # Exploding an array of one keeps the optimizer from moving these expressions into the lambda below, where they would run for each word.
-    df = df.select("id", F.explode(F.array(F.struct("hashes", "values", "slotted"))).alias("x")).select("id", "x.*")
+    df = fixed(df, "x", F.struct("hashes", "values", "slotted")).select("id", "x.*")
     more = ", ".join(f"get(hashes, i + {k})" for k in range(1, size))
     df = df.withColumn("found", F.expr(f"transform(slice(hashes, 1, size(hashes) - {size - 1}), (h, i) -> named_struct('hash', xxhash64(h, {more}), 'values', if(slotted, nullif(array_join(slice(values, i + 1, {size}), '{COMMA}'), ''), null)))"))
     return df.select("id", F.size("found").alias("n"), F.posexplode("found").alias("at", "w")).select("id", "at", "n", "w.hash", "w.values")

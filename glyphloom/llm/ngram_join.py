@@ -220,9 +220,13 @@ def _crowded(shared: DataFrame, costs: DataFrame, texts: DataFrame, firsts: Data
     placed = staged(prefix.join(groups, prefix["key"] == groups["node"], "left").select("token", "key", "n", "k", F.coalesce("root", "key").alias("root")), "crowd-placed")
     apart = staged(placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token"), "crowd-apart")
     rest = staged(placed.join(apart, "token", "left_semi"), "crowd-rest")
-    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "k", "root")])
+    # A pair is made once, at the first of the shingles that both have here.
+    own = staged(rest.groupBy("key").agg(F.collect_list("token").alias("tokens")), "crowd-tokens")
+    rest = rest.join(own, "key")
+    other = rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "k", "root", "tokens")])
     near = (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * params.percent) & (_both("n", "n_b", params) <= F.least("k", "k_b"))
-    cross = rest.join(other, "token").where((F.col("root") < F.col("root_b")) & near).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
+    first = F.array_min(F.array_intersect("tokens", "tokens_b")) == F.col("token")
+    cross = rest.join(other, "token").where((F.col("root") < F.col("root_b")) & near & first).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
     return links.unionByName(_verified(cross, texts, firsts, params, "crowd-cross"))
 
 
