@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Remembered parts of text per worker; when there are more, the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 #: Parts of more characters have a heap each.
 LONGEST = 48
 
