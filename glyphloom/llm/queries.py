@@ -58,4 +58,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_sharding, op4_html_text, op5_token_counts, op6_training_order, op7_ngram_join, op8_quality_rules, op9_decontamination, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_quality_rules": quality.sql()}
