@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: The white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
-# Punctuation and symbols, ASCII and the common blocks beyond.
-PUNCTUATION = r"[!-/:-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b8\u00bb-\u00bf\u2010-\u2060\u20a0-\u20bf\u2190-\u2bff\u3001-\u303f\uff01-\uff0f]+"
+# Punctuation and symbols. Those of Latin-1 are one class, looked up in one step; the others are few and go one by one.
+PUNCTUATION = "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~\u00a1\u00a2\u00a3\u00a4\u00a5\u00a6\u00a7\u00a8\u00a9\u00ab\u00ac\u00ae\u00af\u00b0\u00b1\u00b4\u00b6\u00b7\u00b8\u00bb\u00bf\u00d7\u00f7]+"
+WIDE_PUNCTUATION = "\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,12 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_punctuation(text: Column) -> Column:
+    for c in WIDE_PUNCTUATION:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return F.regexp_replace(text, PUNCTUATION, "")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")

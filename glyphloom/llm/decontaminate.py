@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, fixed, words_of
+from .common import fixed, without_punctuation, words_of
 
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 PLACEHOLDERS = f"{NAME}-{UNIT}"
@@ -50,7 +50,7 @@ def template_words(text: Column) -> Column:
     t = F.regexp_replace(t, r"(\p{Lu}(?<=[\p{L},;] .)[\p{L}'’-]*)", f"{NAME}$1")
     t = F.regexp_replace(F.lower(t), r"([0-9]+(?:[.,:/][0-9]+)*)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"({NUMBER}[0-9.,:/]+ ?)({'|'.join(UNITS.split())})\b", f"$1{UNIT}$2")
-    return words_of(F.regexp_replace(t, PUNCTUATION, ""))
+    return words_of(without_punctuation(t))
 
 
 def _slot(word: Column) -> Column:
