@@ -74,7 +74,9 @@ def windows(texts: DataFrame, id: str, text: str, size: int) -> DataFrame:
 
 def held_items(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams(), id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item that it holds: n_found and n_windows of the item, first_word and last_word in the document, consistency (1 without values), same_values."""
-    items = windows(benchmark, item, item_text, params.window).select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("n").alias("n_windows"), "hash", F.col("values").alias("item_values"))
+    # Items in lower case too: a copy without capitals shows no names.
+    both = windows(benchmark, item, item_text, params.window).unionByName(windows(benchmark.withColumn(item_text, F.lower(item_text)), item, item_text, params.window))
+    items = both.dropDuplicates(["id", "at", "hash"]).select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("n").alias("n_windows"), "hash", F.col("values").alias("item_values"))
     if items.limit(params.broadcast_windows + 1).count() <= params.broadcast_windows:
         items = F.broadcast(items)
     found = windows(docs, id, text, params.window).select("id", "at", "hash", "values").join(items, "hash")
