@@ -104,6 +104,7 @@ def minimax_cuts(ends: DataFrame, total: int, largest: int, shards: int, marks:
     """The ends of the shards, where ``ends`` has the group ends in a column ``end``."""
     if not total:
         return []
+    marks = max(marks, 64 * shards)  # fewer could leave the places of the cuts as wide as they were
     known = _Marks(total, largest)
     low, high = max(largest, -(-total // shards)) - 1, total
     windows = [(0, total)]

@@ -23,7 +23,7 @@ def brute(groups, shards):
         capacity += 1
 
 
-@pytest.mark.parametrize("seed, marks", [(1, 4096), (2, 8), (3, 3)])
+@pytest.mark.parametrize("seed, marks", [(1, 4096), (2, 1)])
 def test_minimax(spark, seed, marks):
     r = random.Random(seed)
     texts = ["x" * r.randrange(0, 40) + str(r.randrange(30)) for _ in range(150)] + [None, None, "", "hot" * 20] + ["hot" * 20] * (60 if seed == 2 else 3)
