@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from glyphloom.plans.registry import QUERIES
 
-HEADLINE = ["structure_distribution", "shape_distribution", "emission_probs", "mass_prune_emissions", "number_labels", "coverage_at_k", "coverage_curve", "prefix_freq", "policy_flags", "dictionary_match", "keyboard_walks", "soft_structure_probs"]
+HEADLINE = ["structure_distribution", "shape_distribution", "emission_probs", "mass_prune_emissions", "number_labels", "coverage_at_k", "coverage_curve", "prefix_freq", "policy_flags", "dictionary_match", "keyboard_walks"]
 
 
 def main() -> None:
