@@ -137,6 +137,23 @@ def test_lines_are_brute_force(spark):
     assert line_dedup.dedup(df.where("false")).count() == 0
 
 
+def test_lines_meet_by_similarity_alone(spark):
+    r = random.Random(12)
+    p = line_dedup.LineParams()
+    lines = []
+    for n in (8, 10, 12, 16, 20, 30, 40) * 6:
+        base = [r.choice(WORDS) + r.choice(WORDS) for _ in range(n)]
+        k = r.randrange(n)
+        other = [*base[:k], base[k][:-1] + "z", *base[k + 1 :]]
+        if (simhash(base) ^ simhash(other)).bit_count() <= p.most_bits:
+            lines += [" ".join(base), " ".join(other)]
+    assert len(lines) > 40
+    links = [(x, y) for x, y in combinations(range(len(lines)), 2) if abs(len(lines[x]) - len(lines[y])) <= 0.1 * 500 and edits(lines[x], lines[y]) <= 0.1 * max(len(lines[x]), len(lines[y])) + 1e-9]
+    want = {x for x, root in roots(range(len(lines)), links).items() if x != root}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {x.doc_id for x in line_dedup.dedup(df).collect() if x._n_dropped} == want
+
+
 def test_lines_of_repeated_ids(spark):
     df = spark.createDataFrame([(None, "one two three"), (3, "one two three\nfour five six"), (3, "one two three\nfour five six")], "doc_id long, text string")
     assert sorted((x.text, x._n_dropped) for x in line_dedup.dedup(df).collect()) == [("four five six", 1), ("four five six", 1), ("one two three", 0)]
