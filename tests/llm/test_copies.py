@@ -178,6 +178,19 @@ def test_held_items(spark):
     assert decontaminate.held_items(d.where("false"), b).count() == 0 and decontaminate.held_items(d, b.where("false")).count() == 0
 
 
+def test_verbatim_values(spark):
+    series = "Find the next number of the series: " + " ".join(str(3 * i) for i in range(1, 13)) + " and so on"
+    cities = "We passed through " + ", ".join("Oslo Bergen Paris London Madrid Rome Vienna Berlin Prague Athens Dublin".split()) + " on the way home"
+    sibling = "Find the next number of the series: " + " ".join(str(7 * i) for i in range(1, 13)) + " and so on"
+    docs = [(1, series), (2, "Before that. " + cities + " again."), (3, "10 20 30 40 50 60 70 80 90 100 110 120 130 140"), (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 x " + sibling + " then " + series), (5, "They say the answer is 42 here"), (6, "They say the answer is 43 here")]
+    items = [(1, series), (2, cities), (3, "the answer is 42")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.held_items(d, b).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 1), (5, 3)}
+    assert all(x.same_values for x in got.values())
+    assert {x.doc_id for x in decontaminate.clean(d, b).collect()} == {3, 6}
+
+
 def plain_windows(text, size=8):
     words = re.sub(r"[^\w\s]|_", "", text.lower()).split()
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
