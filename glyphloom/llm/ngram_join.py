@@ -91,11 +91,11 @@ def overlap(n, percent: int):
 
 
 def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("text"))
+    return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).cast("binary").alias("text")).withColumn("text_id", F.xxhash64("text"))
 
 
 def _keyed(texts: DataFrame, params: JoinParams) -> DataFrame:
-    """id, key (null without shingles), n."""
+    """id, text_id, key (null without shingles), n. Rows of one id may have different texts; a text is known by text_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,9 +104,9 @@ def _keyed(texts: DataFrame, params: JoinParams) -> DataFrame:
                 s = shingles(t.as_py(), params.words)
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["id", "key", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["id", "text_id", "key", "n"])
 
-    return texts.mapInArrow(run, "id long, key long, n long")
+    return texts.mapInArrow(run, "id long, text_id long, key long, n long")
 
 
 def _shown(texts: DataFrame, params: JoinParams, whole: bool) -> DataFrame:
@@ -189,7 +189,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, params: Joi
     pairs = staged(pairs, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     # Only texts in pairs are moved on.
-    held = staged(texts.join(firsts.join(wanted, "key", "left_semi"), "id").dropDuplicates(["key"]).select("key", "text"), f"{name}-texts")
+    held = staged(texts.join(firsts.join(wanted, "key", "left_semi").select("key", "text_id"), "text_id").dropDuplicates(["key"]).select("key", "text"), f"{name}-texts")
     joined = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,13 +234,13 @@ def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", params:
     """A row for each document: its id, n_shingles, and component_id, the smallest id that links reach (null: only null ids)."""
     texts = _texts(docs, id, text)
     keyed = staged(_keyed(texts, params), "sets")
-    firsts = staged(keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("id")), "first-ids")
+    firsts = staged(keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("text_id").alias("text_id")), "first-ids")
     shared = _shared(_shown(texts, params, False), "shared")
     costs = _costs(shared, params, False, "costs")
     links = _verified(_pairs(shared, costs, params, False), texts, firsts, params, "near")
     # Sets whose prefix doesn't do show all they have.
     longer = costs.where("least <= 0").select("key")
-    again = texts.join(firsts.join(longer, "key", "left_semi").select("id"), "id", "left_semi")
+    again = texts.join(firsts.join(longer, "key", "left_semi").select("text_id"), "text_id", "left_semi").select(*texts.columns)
     shared = _shared(_shown(again, params, True), "shared-whole")
     costs = _costs(shared, params, True, "costs-whole")
     links = links.unionByName(_verified(_pairs(shared, costs, params, True), texts, firsts, params, "whole"))

@@ -72,6 +72,17 @@ def test_join_nulls_and_none(spark):
     assert ngram_join.link_groups(docs.where("false")).count() == 0
 
 
+def test_join_different_texts_of_one_id(spark):
+    r = random.Random(21)
+    docs = []
+    for i in range(12):
+        base = [r.choice(WORDS) for _ in range(60)]
+        docs += [(None, " ".join(base)), (100 + i, " ".join([*base, "one"])), (7, " ".join(["two", *base, "three"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = ngram_join.link_groups(df).collect()
+    assert len(found) == len(docs) and {x.component_id for x in found} == {7}
+
+
 def normal(line):
     line = re.sub(r"[^\w\s]|_", "", line.lower())
     return re.sub(r"[ \t\x0b\x0c\r]+", " ", line).strip(" ")
