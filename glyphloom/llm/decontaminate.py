@@ -10,8 +10,8 @@ value with one new value throughout (consistency).
 A document holds an item if enough of the item's windows are found in it and the pairs
 are consistent, within one alignment (windows as far apart as in the item) or over the
 best places of all windows. An item of fewer words than a window is one window of its
-own length and found with equal values only. Null and empty texts hold nothing; documents with equal ids count as one; rows with a null id are judged
-as one document of a null id. An empty benchmark or corpus gives no rows. Extra columns
+own length and found with equal values only. Null and empty texts hold nothing; rows with equal ids (null too) but different texts are judged each by
+itself, items likewise. An empty benchmark or corpus gives no rows. Extra columns
 are not read.
 """
 
@@ -75,24 +75,35 @@ def windows(texts: DataFrame, id: str, text: str, size: int, whole: bool = False
     return df.select("id", F.size("found").alias("n"), F.posexplode("found").alias("at", "w")).select("id", "at", "n", "w.hash", "w.values")
 
 
-def _meeting(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams, id: str, text: str, item: str, item_text: str, size: int) -> DataFrame:
+def _meeting(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams, size: int) -> DataFrame:
     """The windows of documents that have the template of an item's window: of full size, or the whole of shorter items."""
     whole = size < params.window
     # Items in lower case too: a copy without capitals shows no names.
-    both = windows(benchmark, item, item_text, size, whole).unionByName(windows(benchmark.withColumn(item_text, F.lower(item_text)), item, item_text, size, whole))
+    both = windows(benchmark, "id", "text", size, whole).unionByName(windows(benchmark.withColumn("text", F.lower("text")), "id", "text", size, whole))
     items = both.dropDuplicates(["id", "at", "hash"]).select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("n").alias("n_windows"), "hash", F.col("values").alias("item_values"))
     if items.limit(params.broadcast_windows + 1).count() <= params.broadcast_windows:
         items = F.broadcast(items)
-    found = windows(docs, id, text, size).select("id", "at", "hash", "values").join(items, "hash").drop("hash")
+    found = windows(docs, "id", "text", size).select("id", "at", "hash", "values").join(items, "hash").drop("hash")
     found = found.withColumn("equal", F.col("values").eqNullSafe(F.col("item_values"))).withColumn("size", F.lit(size))
     # A short item says too little to be asked again with other values.
     return found.where("equal") if whole else found
 
 
+def _keyed(texts: DataFrame, id: str, text: str) -> DataFrame:
+    """id (the id and a hash of the text: rows of one id may have different texts) and text."""
+    return texts.select(F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("text")).alias("id"), F.col(text).alias("text"))
+
+
 def held_items(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams(), id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item that it holds: n_found and n_windows of the item, first_word and last_word in the document, consistency (1 without values), same_values."""
-    lengths = benchmark.select(F.size(template_words(F.col(item_text))).alias("n")).where((F.col("n") > 0) & (F.col("n") < params.window)).distinct().collect()
-    found = reduce(DataFrame.unionByName, [_meeting(docs, benchmark, params, id, text, item, item_text, size) for size in [params.window, *sorted(r["n"] for r in lengths)]])
+    held = _held(_keyed(docs, id, text), _keyed(benchmark, item, item_text), params)
+    return held.select(F.col("id.id").alias(id), F.col("item.id").alias(item), "n_found", "n_windows", "first_word", "last_word", "consistency", "same_values")
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams) -> DataFrame:
+    """The rows of held_items by the keys (id) of documents and items."""
+    lengths = benchmark.select(F.size(template_words(F.col("text"))).alias("n")).where((F.col("n") > 0) & (F.col("n") < params.window)).distinct().collect()
+    found = reduce(DataFrame.unionByName, [_meeting(docs, benchmark, params, size) for size in [params.window, *sorted(r["n"] for r in lengths)]])
     enough = (F.col("n_found") >= params.enough_windows) | (F.col("n_found") >= params.least_share * F.col("n_windows"))
     # Windows that lie in the document as in the item are one alignment, judged by itself.
     wordless = F.coalesce(F.size(F.split("values", COMMA)) == F.col("size"), F.lit(False))
@@ -128,8 +139,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame, params: DecontaminationPar
         held = held.withColumn(f"{name}_pairs", _pairs(F.col(name)))
     held = held.withColumn("consistency", F.greatest("aligned", _consistency("largest_pairs"), _consistency("likest_pairs")))
     held = held.withColumn("same_values", F.col("verbatim") | F.forall("likest_pairs", lambda p: p["0"] == p["1"]))
-    held = held.where(enough & (F.col("consistency") >= params.least_consistency))
-    return held.select(F.col("id").alias(id), F.col("item").alias(item), "n_found", "n_windows", "first_word", "last_word", "consistency", "same_values")
+    return held.where(enough & (F.col("consistency") >= params.least_consistency))
 
 
 def _pairs(ws: Column) -> Column:
@@ -145,5 +155,5 @@ def _consistency(pairs: str) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams = DecontaminationParams(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no item."""
-    held = held_items(docs, benchmark, params, id, text).select(id).distinct()
-    return docs.join(held, docs[id].eqNullSafe(held[id]), "left_anti")
+    held = _held(_keyed(docs, id, text), _keyed(benchmark, "item_id", "text"), params).select(F.col("id.id").alias("_id"), F.col("id.text").alias("_text")).distinct()
+    return docs.join(held, docs[id].eqNullSafe(held["_id"]) & (F.xxhash64(docs[text]) == held["_text"]), "left_anti")

@@ -202,6 +202,17 @@ def test_verbatim_values(spark):
     assert {x.doc_id for x in decontaminate.clean(d, b).collect()} == {3, 6}
 
 
+def test_rows_of_one_id_are_judged_each(spark):
+    for i in (None, 5):
+        docs = spark.createDataFrame([(i, ITEM), (i, "a clean text of which nothing is in the benchmark at all")], "doc_id long, text string")
+        bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+        assert [x.text[:7] for x in decontaminate.clean(docs, bench).collect()] == ["a clean"]
+        rows = [(i, "one two three\nfour five six"), (i, "seven eight nine\nten eleven twelve"), (-(2**62), "four five six")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = sorted(line for x in line_dedup.dedup(df).collect() for line in x.text.split("\n") if line)
+        assert kept == ["four five six", "one two three", "seven eight nine", "ten eleven twelve"]
+
+
 def plain_windows(text, size=8):
     words = re.sub(r"[^\w\s]|_", "", text.lower()).split()
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
