@@ -27,7 +27,7 @@ def segments(df: DataFrame, v: str = "v", result: str = "segs") -> DataFrame:
 
 
 def parses(df: DataFrame, terms: lattice.Terms, config: Config = Config(), v: str = "v") -> DataFrame:
-    """v, m, parses: each distinct value is parsed once and keeps how often it occurs. The terms go to the workers whole, so they must be a list of bounded size."""
+    """v, m, parses: each distinct value is parsed once and keeps how often it occurs. The terms go to the workers whole, so they must fit their memory."""
     shared = df.sparkSession.sparkContext.broadcast(terms)
 
     @F.pandas_udf(PARSES)

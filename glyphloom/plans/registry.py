@@ -362,13 +362,9 @@ def keyboard_walks(spark: SparkSession, d: str) -> DataFrame:
     return _pattern_counts(spark, d, "kb")
 
 
-#: Terms that the parser takes at most; the likeliest first.
-MOST_TERMS = 5_000
-
-
 def _terms(spark: SparkSession, d: str) -> Terms:
     plain = tokens(spark, d).where(F.col("v").rlike(r"^\p{Ll}{3,12}$")).groupBy("v").agg(F.count("*").alias("c"))
-    rows = plain.where("c >= 5").orderBy(F.desc("c"), "v").limit(MOST_TERMS).collect()
+    rows = plain.where("c >= 5").select("v").collect()
     return Terms(words=frozenset(r["v"] for r in rows), syllables=frozenset(r["v"] for r in rows if len(r["v"]) <= 3))
 
 

@@ -109,3 +109,10 @@ def test_masks_and_parts(spark):
 def test_labels_of_terms(spark):
     a, b = spark.createDataFrame([("x", "n")], "term string, label string"), spark.createDataFrame([("x", "w"), ("y", "w")], "term string, label string")
     assert {tuple(r) for r in stats.precedence(a, b).collect()} == {("x", "n"), ("y", "w")}
+
+
+def test_all_terms_are_taken(spark, tmp_path):
+    words = [f"{a}{b}{c}{e}" for a in "bcdfghjklm" for b in "aeiou" for c in "bcdfghjklmnprst" for e in "abcdefgh"]
+    rows = [(i, " ".join(words), "en") for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(words) > 5000 and registry._terms(spark, str(tmp_path)).words == frozenset(words)
