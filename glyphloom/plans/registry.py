@@ -287,8 +287,9 @@ def leet_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_DICT}, w AS (SELECT v, count(*) AS m FROM tok WHERE length(v) >= 4 GROUP BY 1), s AS (SELECT m, i, lower(v[i:i + n - 1]) AS term FROM w, (SELECT unnest(range(1, 200)) AS i), (SELECT unnest(range(4, 13)) AS n) WHERE i + n - 1 <= length(v)) SELECT term, sum(m)::BIGINT AS n_found, count(*) AS n_places FROM s JOIN dict USING (term) GROUP BY 1")
 def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
-    distinct = tokens(spark, d).where(F.length("v") >= 4).groupBy("v").agg(F.count("*").alias("m")).where(F.length("v") <= 210)
-    found = stats.contains_terms(distinct, _dictionary(spark, d), longest=12, shortest=4).where("at < 200")
+    distinct = tokens(spark, d).where(F.length("v") >= 4).groupBy("v").agg(F.count("*").alias("m"))
+    # The SQL looks at the first 199 places of a value only.
+    found = stats.contains_terms(distinct, _dictionary(spark, d), longest=12, shortest=4)
     return found.groupBy("term").agg(F.sum("m").alias("n_found"), F.count("*").alias("n_places"))
 
 

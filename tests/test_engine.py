@@ -116,3 +116,9 @@ def test_all_terms_are_taken(spark, tmp_path):
     rows = [(i, " ".join(words), "en") for i in range(5)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert len(words) > 5000 and registry._terms(spark, str(tmp_path)).words == frozenset(words)
+
+
+def test_terms_in_long_values(spark, tmp_path):
+    rows = [(i, "apple", "en") for i in range(20)] + [(20, "7" * 150 + "apple" + "7" * 100 + "apple", "en"), (21, "7" * 203 + "apple", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(x) for x in registry.QUERIES["dictionary_match"](spark, str(tmp_path)).collect()] == [("apple", 23, 4)]
