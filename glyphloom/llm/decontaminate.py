@@ -10,9 +10,9 @@ value with one new value throughout (consistency).
 A document holds an item if enough of the item's windows are found in it and the pairs
 are consistent, within one alignment (windows as far apart as in the item) or over the
 best places of all windows. An item of fewer words than a window is one window of its
-own length and found with equal values only. Null and empty texts hold nothing; rows with equal ids (null too) but different texts are judged each by
-itself, items likewise. An empty benchmark or corpus gives no rows. Extra columns
-are not read.
+own length and found with equal values only. Null and empty texts hold nothing; rows
+with equal ids (null too) but different texts are judged each by itself, items likewise.
+An empty benchmark or corpus gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
