@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _smallest(edges: DataFrame, of: str, among: str) -> DataFrame:
@@ -13,27 +13,33 @@ def _smallest(edges: DataFrame, of: str, among: str) -> DataFrame:
     return staged(edges.groupBy(F.col(of).alias("at")).agg(F.min(among).alias("low")), "stars")
 
 
+def _mark(edges: DataFrame):
+    return edges.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
-    """(node, root): each node of an edge list with the smallest node that it reaches.
+    """(node, root): each node of an edge list with the smallest node that it reaches. Reads a staged table.
 
     Alternates large and small stars (Kiveris et al., 2014): each node links its larger
     neighbours, then itself and its smaller ones, to the smallest it knows, until nothing
     changes. No node's edges come together in one task.
     """
     now = staged(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct(), name)
+    mark = _mark(now)
     while True:
         # Large star: both directions; links larger neighbours to the node's smallest (itself included).
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = _smallest(both, "x", "y")
         large = both.where("y > x").join(low, both["x"] == low["at"]).select(F.col("y").alias("v"), F.least("x", "low").alias("u")).distinct()
         large = staged(large, name)
+        discard(now, low)
         # Small star: each node with its smaller neighbours only.
         low = _smallest(large, "v", "u")
         joined = large.join(low, large["v"] == low["at"])
         small = joined.select(F.col("u").alias("v"), F.col("low").alias("u")).where("u < v").unionByName(low.select(F.col("at").alias("v"), F.col("low").alias("u"))).distinct()
-        small = staged(small, name)
-        same = now.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == small.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = small
-        if same:
+        now = staged(small, name)
+        discard(large, low)
+        last, mark = mark, _mark(now)
+        if mark == last:
             roots = now.select(F.col("v").alias("node"), F.col("u").alias("root"))
             return roots.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
