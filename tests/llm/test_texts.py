@@ -47,6 +47,47 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<head><title>x</title><p>A page without a body, but with a sentence or two. Here it is.", "A page without a body, but with a sentence or two. Here it is."),
+        ("<form action=/><article><p>An article inside a page-wide form, long enough to be read.</p></article></form>", "An article inside a page-wide form, long enough to be read."),
+        ("<div class='main-content with-sidebar'><p>Text in a main column beside a sidebar, of some length.</p></div>", "Text in a main column beside a sidebar, of some length."),
+        ("<p>Before the unclosed element, a sentence.</p><noscript><p>The rest of the page, which must stay as it is.</p>", "Before the unclosed element, a sentence.\n\nThe rest of the page, which must stay as it is."),
+        ("<div>" * 5000 + "<p>Deep text, of some length, stays as it is.</p>" + "</div>" * 5000, "Deep text, of some length, stays as it is."),
+        ("<div>" * 5000 + "<p>Deep text that is never closed, of some length, stays as it is.", "Deep text that is never closed, of some length, stays as it is."),
+    ],
+)
+def test_no_text_is_lost(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_very_long_page():
+    part = "<p>One more sentence of the article, of some length, for page %d of it.</p>"
+    assert html_text.main_text("<nav><a href=/>Home</a></nav><main>" + "".join(part % i for i in range(20_000)) + "</main>").count("\n\n") == 19_999
+
+
+def test_the_cut_decides():
+    """A short entry amid the paragraphs of an unmarked page is content by its neighbours, a sentence amid links is not."""
+    p = "<p>A long paragraph of running text, with commas, stops and all that; it goes on for quite a while, as such paragraphs do. It has more than one sentence.</p>"
+    link = "<li><a href=/x>Somewhere else</a></li>"
+    html = f"<div><ul>{link * 4}<li>Read this now, it is new. Or that.</li>{link * 4}</ul></div><div>{p * 2}<div>And short</div>{p * 2}</div>"
+    blocks = html_text.read(html)
+    alone = [html_text.score(b) > 0 for b in blocks]
+    found = html_text.labels(blocks)
+    assert alone != found
+    assert [b.text for b, k in zip(blocks, found) if k] == [blocks[-1].text] * 2 + ["And short"] + [blocks[-1].text] * 2
+
+
+def test_fit():
+    pages = [f"<nav><ul><li><a href=/>Part {i}</a></li></ul></nav><article><h1>On {i}</h1><p>The text of page {i}, which is of some length. It has stops.</p></article>" for i in range(30)]
+    weights = html_text.fit_weights(pages)
+    assert html_text.fit_weights([]) == html_text.fit_weights(["<p>no mark here</p>"]) == html_text.BY_HAND
+    at = dict(zip(html_text.FEATURES, weights))
+    assert at["links"] < 0 < at["paragraph"]
+    assert all(html_text.main_text(x, weights).startswith("On ") and "Part" not in html_text.main_text(x, weights) for x in pages)
+
+
 def test_cut_is_minimal():
     r = random.Random(5)
     for _ in range(300):
