@@ -194,7 +194,7 @@ def test_recall_on_a_table(spark):
     pairs = [(x, y) for x in ask for y in every if x != y and abs(len(x) - len(y)) <= 0.1 * max(len(x), len(y)) and alike(x, y)]
     params = line_dedup.LineParams()
     occurring = line_dedup.staged(line_dedup.lines_of(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "occurring")
-    distinct = line_dedup.staged(line_dedup.distinct_lines(line_dedup.signatures(occurring, params)), "lines")
+    distinct = line_dedup.staged(line_dedup.distinct_lines(occurring, params), "lines")
     groups = line_dedup.line_groups(distinct, occurring, params)
     root = {x.norm: x.root for x in groups.join(occurring.withColumnRenamed("lid", "node"), "node").select("norm", "root").distinct().collect()}
     assert pairs and sum(x in root and root.get(x) == root.get(y) for x, y in pairs) >= 0.9 * len(pairs)
