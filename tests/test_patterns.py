@@ -13,7 +13,7 @@ from glyphloom.functions.numbers import label_text
     "value, labels",
     [
         ("ab12!?", "L D S"), ("abcabc", "sr2"), ("zz", "L"), ("zzz", "sr3"), ("1111", "sr4"), ("4545", "D"), ("454545", "sr3"), ("12121299", "D"), ("a1a1", "sr2"),
-        ("xabab1", "L D"), ("qwerty", "kb6"), ("1qaz2wsx", "kb4 kb4"), ("qazx", "kb3 L"), ("x1234y", "L D L"), ("qaz1234!", "L D S"), ("1abcd!", "D alpha4 S"), ("xabc1", "L D"), ("xyz-9", "alpha3 S D"),
+        ("xabab1", "L D"), ("qwerty", "kb6"), ("1qaz2wsx", "kb4 kb4"), ("qazx", "kb3 L"), ("qAzx", "kb3 L"), ("xwsxcvbnm", "L kb6"), ("x1234y", "L D L"), ("qaz1234!", "L D S"), ("1abcd!", "D alpha4 S"), ("xabc1", "L D"), ("xyz-9", "alpha3 S D"),
     ],
 )
 def test_coarse(value, labels):
@@ -22,6 +22,69 @@ def test_coarse(value, labels):
     assert "".join(t for t, _ in found) == value
 
 
+def slow_repeats(s):
+    """Every unit from every place, as the rule says."""
+    folded, spans, i = "".join(c.lower() if len(c.lower()) == 1 else c for c in s), [], 0
+    while i < len(s):
+        hit = None
+        if s[i].isascii() and s[i].isalnum():
+            for u in range(1, (len(s) - i) // 2 + 1):
+                unit = folded[i : i + u]
+                if not (unit[-1].isascii() and unit[-1].isalnum()):
+                    break
+                n = 1
+                while folded.startswith(unit, i + n * u):
+                    n += 1
+                end, test = i + n * u, str.isdigit if unit.isdigit() else str.isalpha
+                apart = not (i and test(s[i - 1])) and not (end < len(s) and test(s[end]))
+                if apart and n >= (3 if u == 1 or unit.isdigit() else 2):
+                    hit = (i, end, f"sr{n}")
+                    break
+        spans += [hit] if hit else []
+        i = hit[1] if hit else i + 1
+    return patterns._cut(s, spans)
+
+
+def slow_walks(s):
+    spans, i = [], 0
+    while i < len(s):
+        end = i + 1
+        while end < len(s) and patterns.neighbours(s[end - 1], s[end]):
+            end += 1
+        w = s[i:end]
+        rows = {patterns.KEYS[c][0] for c in w if c in patterns.KEYS}
+        if s[i] in patterns.KEYS and len(w) >= 4 and (len(rows) == 1 or not any(x in w.lower() for x in patterns.NO_WALK) and len({patterns.kind(c) for c in w}) >= 2):
+            spans.append((i, end))
+            i = end
+        else:
+            i += 1
+    return patterns._cut(s, [(a, b, f"kb{b - a}") for a, b in spans if not s[a:b].isdigit()]), bool(spans)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="aAb12-é\u212a", max_size=16))
+def test_repeats_are_brute_force(value):
+    assert patterns.repeats(value) == slow_repeats(value)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="qwerdfQ123sxczaoplk;,", max_size=14))
+def test_walks_are_brute_force(value):
+    assert patterns.walks(value) == slow_walks(value)
+
+
+def test_long_values():
+    import random
+    import time
+
+    r = random.Random(1)
+    began = time.process_time()
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789", "ab", "wsxcde", "a"):
+        value = "x" + "".join(r.choice(alphabet) for _ in range(8000))
+        assert "".join(t for t, _ in patterns.coarse(value)) == value
+    assert time.process_time() - began < 20
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abcqwe123!éÉ ßİ", max_size=14))
 def test_segments_join_to_the_value(value):
