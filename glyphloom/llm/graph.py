@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from .common import discard, staged
 
 
-def _smallest(edges: DataFrame, of: str, among: str) -> DataFrame:
+#: Edges that one task writes, about. Changes no result: small graphs are written by few tasks.
+EDGES_A_TASK = 500_000
+
+
+def _smallest(edges: DataFrame, of: str, among: str, tasks: int) -> DataFrame:
     """For each ``of`` the smallest neighbour; staged, so that a join with it can split hot nodes."""
-    return staged(edges.groupBy(F.col(of).alias("at")).agg(F.min(among).alias("low")), "stars")
+    return staged(edges.groupBy(F.col(of).alias("at")).agg(F.min(among).alias("low")).coalesce(tasks), "stars")
 
 
 def _mark(edges: DataFrame):
@@ -27,17 +31,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     now = staged(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct(), name)
     mark = _mark(now)
     while True:
+        tasks = 1 + 2 * mark[0] // EDGES_A_TASK
         # Large star: both directions; links larger neighbours to the node's smallest (itself included).
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = _smallest(both, "x", "y")
+        low = _smallest(both, "x", "y", tasks)
         large = both.where("y > x").join(low, both["x"] == low["at"]).select(F.col("y").alias("v"), F.least("x", "low").alias("u")).distinct()
-        large = staged(large, name)
+        large = staged(large.coalesce(tasks), name)
         discard(now, low)
         # Small star: each node with its smaller neighbours only.
-        low = _smallest(large, "v", "u")
+        low = _smallest(large, "v", "u", tasks)
         joined = large.join(low, large["v"] == low["at"])
         small = joined.select(F.col("u").alias("v"), F.col("low").alias("u")).where("u < v").unionByName(low.select(F.col("at").alias("v"), F.col("low").alias("u"))).distinct()
-        now = staged(small, name)
+        now = staged(small.coalesce(tasks), name)
         discard(large, low)
         last, mark = mark, _mark(now)
         if mark == last:
