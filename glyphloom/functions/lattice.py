@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from ..config import Config
 from .chars import LEET_FROM, LEET_TO
 from .numbers import label_text
-from .patterns import coarse, related
+from .patterns import coarse, related, term_spans
 
 # Chances of labels, and the factors on whole paths.
 NAME, WORD, SYLLABLE, LETTER, UNKNOWN, LONE = 0.25, 0.20, 0.10, 0.08, 0.03, 1e-8
@@ -27,6 +27,8 @@ class Terms:
     words: frozenset[str] = frozenset()
     forms: dict[str, frozenset[str]] = field(default_factory=dict)
     syllables: frozenset[str] = frozenset()
+    #: Names with separators in them (term -> label), for the coarse pass.
+    joined: dict[str, str] = field(default_factory=dict)
 
     @functools.cached_property
     def longest(self) -> int:
@@ -52,17 +54,10 @@ def dictionary_spans(text: str, terms: Terms) -> Iterator[Span]:
             yield i, j, "en_word", math.log(WORD)
 
 
-def longest_matches(text: str, terms: Iterable[str]) -> list[tuple[int, int]]:
-    """Spans of terms, longest first, that don't overlap."""
-    terms = frozenset(terms)
-    found = sorted(((i, j) for i, j, t in _substrings(text.lower(), max(map(len, terms), default=0)) if t in terms), key=lambda x: (x[0] - x[1], x[0]))
-    kept: list[tuple[int, int]] = []
-    for i, j in found:
-        if all(j <= a or b <= i for a, b in kept):
-            kept.append((i, j))
-    return sorted(kept)
+longest_matches = term_spans
 
 
+# What forms of some lengths lose.
 def _form_factor(label: str, n: int) -> float:
     if label in ("cn_name_full", "cn_name_first_last"):
         return 0.5 if n < 5 else 1.0
@@ -216,7 +211,7 @@ def posteriors(logs: list[float], temperature: float, least: float, most: int) -
 
 def parse(value: str, terms: Terms, config: Config = Config(), key: str | None = None, detectors=DETECTORS) -> list[tuple[list[tuple[str, str]], float, float]]:
     """The parses of a value that count: segments, logarithm of the score, weight."""
-    segments = related(key, value) if key else coarse(value)
+    segments = related(key, value, terms.joined) if key else coarse(value, terms.joined)
     paths = [(merge(s, terms), p) for s, p in expand(branches(segments, terms, config.k_best, detectors), config.expand_limit)]
     paths = sorted(paths, key=lambda x: -x[1])[: config.merged_limit]
     kept = posteriors([p for _, p in paths], config.temperature, config.least_posterior, config.most_paths)

@@ -24,6 +24,30 @@ def emission_counts(df: DataFrame, v: str = "v") -> DataFrame:
     return runs.groupBy(label.alias("label"), "surface").agg(F.sum("m").alias("cnt"))
 
 
+#: Stands between the segments of a key and those of its value.
+SEPARATOR = "acc_pwd_sep"
+
+
+def pair_structures(pairs: DataFrame) -> DataFrame:
+    """sp, cnt of distinct pairs (key, value, m): the key's segments, a separator, the value's."""
+    sp = F.concat_ws(" ", chars.structure(F.col("key")), F.lit(SEPARATOR), chars.structure(F.col("value")))
+    return pairs.groupBy(sp.alias("sp")).agg(F.sum("m").alias("cnt"))
+
+
+def pair_emissions(pairs: DataFrame) -> DataFrame:
+    """label, surface, cnt of the runs of keys and values of distinct pairs; the separator has none."""
+    runs = pairs.select("m", F.explode(F.concat(chars.runs(F.col("key")), chars.runs(F.col("value")))).alias("surface"))
+    label = F.concat(chars.run_class(F.col("surface")), F.length("surface").cast("string"))
+    return runs.groupBy(label.alias("label"), "surface").agg(F.sum("m").alias("cnt"))
+
+
+def normalised_weights(weights: list[float]) -> list[float]:
+    """Weights scaled to 1; there must be some, none below 0, and not all 0."""
+    if not weights or any(w < 0 for w in weights) or sum(weights) <= 0:
+        raise ValueError(f"weights must be given, not below 0 and not all 0: {weights}")
+    return [w / sum(weights) for w in weights]
+
+
 def normalise(counts: DataFrame, by: str | None = None) -> DataFrame:
     """Adds p, the part of all, or of all with the same label. Sums are joined: a hot label needs no task of its own."""
     if by is None:
@@ -35,18 +59,25 @@ def normalise(counts: DataFrame, by: str | None = None) -> DataFrame:
 def ranked(counts: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Adds rn (by count downwards, then value), before (the sum of counts ranked higher) and total.
 
-    Rows are windowed in small buckets: of one count and one beginning of the value. The sums
-    over the buckets are few (a table of N rows has at most sqrt(2N) different counts).
+    Places are added up by levels: those of one count and two first characters (few: a table
+    of N rows has at most sqrt(2N) different whole counts), in these those of six, and in
+    these the rows. So a window holds the rows of one count and one beginning of six.
     """
     keys = [by] if by else []
-    bucketed = counts.withColumn("_b", F.left(value, F.lit(2)))
-    order = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = bucketed.groupBy(*keys, "cnt", "_b").agg(F.count("*").alias("_n"))
-    all_of = Window.partitionBy(*keys)
-    sums = sums.select(*keys, "cnt", "_b", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_first"), F.coalesce(F.sum(F.col("_n") * F.col("cnt")).over(order), F.lit(0)).alias("_mass"), F.sum(F.col("_n") * F.col("cnt")).over(all_of).alias("total"))
-    own = F.row_number().over(Window.partitionBy(*keys, "cnt", "_b").orderBy(value)).cast("long")
-    out = bucketed.withColumn("_own", own).join(sums, [*keys, "cnt", "_b"])
-    return out.withColumn("rn", F.col("_first") + F.col("_own")).withColumn("before", F.col("_mass") + (F.col("_own") - 1) * F.col("cnt")).drop("_b", "_own", "_first", "_mass")
+    wide, fine = [*keys, "cnt", "_b2"], [*keys, "cnt", "_b2", "_b6"]
+    marked = counts.withColumn("_b2", F.left(value, F.lit(2))).withColumn("_b6", F.left(value, F.lit(6)))
+    small = marked.groupBy(*fine).agg(F.count("*").alias("_n"))
+    large = small.groupBy(*wide).agg(F.sum("_n").alias("_n"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("cnt"), "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+    mass = F.col("_n") * F.col("cnt")
+    large = large.select(*wide, before("_n", order).alias("_first"), before(mass, order).alias("_mass"), F.sum(mass).over(Window.partitionBy(*keys)).alias("total"))
+    inside = Window.partitionBy(*wide).orderBy("_b6").rowsBetween(Window.unboundedPreceding, -1)
+    small = small.select(*fine, before("_n", inside).alias("_within")).join(large, wide)
+    own = F.row_number().over(Window.partitionBy(*fine).orderBy(value)).cast("long")
+    out = marked.withColumn("_own", own).join(small, fine).withColumn("_own", F.col("_own") + F.col("_within"))
+    out = out.withColumn("rn", F.col("_first") + F.col("_own")).withColumn("before", F.col("_mass") + (F.col("_own") - 1) * F.col("cnt"))
+    return out.drop("_b2", "_b6", "_own", "_within", "_first", "_mass")
 
 
 def mass_prune(counts: DataFrame, value: str, mass: float, by: str | None = None) -> DataFrame:
@@ -76,6 +107,7 @@ def positive(df: DataFrame, p: str = "p") -> DataFrame:
 
 def mix(a: DataFrame, b: DataFrame, key: str, share: float) -> DataFrame:
     """share * a + (1 - share) * b."""
+    share, _ = normalised_weights([share, 1 - share])
     both = a.select(key, (F.col("p") * share).alias("p")).unionByName(b.select(key, (F.col("p") * (1 - share)).alias("p")))
     return both.groupBy(key).agg(F.sum("p").alias("p"))
 

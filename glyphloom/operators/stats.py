@@ -59,11 +59,20 @@ def duplicate_audit(df: DataFrame, v: str = "v") -> DataFrame:
     return counts.agg(F.sum("c").alias("total"), F.count("*").alias("n_unique"), F.count_if(F.col("c") > 1).alias("n_groups"), F.sum(F.col("c") - 1).alias("n_extra"))
 
 
+#: A table of so many terms is broadcast; beyond, both sides are shuffled.
+BROADCAST_TERMS = 500_000
+
+
+def checked(terms: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """A table of short rows, marked for broadcast if it has no more than so many."""
+    return F.broadcast(terms) if terms.limit(most + 1).count() <= most else terms
+
+
 def contains_terms(df: DataFrame, terms: DataFrame, v: str = "v", longest: int = 12, shortest: int = 3) -> DataFrame:
     """Rows of df with each term they hold and its place: every substring meets the terms by hash."""
     at = df.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length(v) - shortest + 1, F.lit(1)))))
     size = at.withColumn("size", F.explode(F.sequence(F.lit(shortest), F.lit(longest)))).where(F.col("at") + F.col("size") - 1 <= F.length(v))
-    return size.withColumn("term", F.lower(F.col(v).substr(F.col("at"), F.col("size")))).join(terms.select("term").distinct(), "term").drop("size")
+    return size.withColumn("term", F.lower(F.col(v).substr(F.col("at"), F.col("size")))).join(checked(terms.select("term").distinct()), "term").drop("size")
 
 
 def precedence(first: DataFrame, then: DataFrame) -> DataFrame:

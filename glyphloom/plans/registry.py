@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
 from ..config import Config
-from ..functions import chars, numbers
-from ..functions.lattice import Terms
+from ..functions import chars, numbers, patterns
 from ..operators import evaluate, grammar, parse, stats
 from ..sources import table, tokens
 
@@ -50,6 +51,10 @@ def _emissions(spark: SparkSession, d: str) -> DataFrame:
     return grammar.emission_counts(tokens(spark, d))
 
 
+def _distinct(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).groupBy("v").agg(F.count("*").alias("m"))
+
+
 def _train(spark: SparkSession, d: str) -> DataFrame:
     return tokens(spark, d).where("doc_id % 5 <> 0").groupBy(F.col("v").alias("value")).agg(F.count("*").alias("cnt"))
 
@@ -68,18 +73,28 @@ def avg_length_filtered(spark: SparkSession, d: str) -> DataFrame:
     return stats.average_length(tokens(spark, d))
 
 
+def _with_customers(spark: SparkSession, d: str) -> DataFrame:
+    """v: the words, and customers' names after one or two digits and before a year, as few words have such affixes."""
+    c = F.col("c_custkey").cast("string")
+    made = table(spark, d, "customer").select(F.explode(F.array(F.concat(F.right(c, F.lit(2)), F.left("c_name", F.lit(8))), F.concat(F.left("c_name", F.lit(8)), (F.lit(1950) + F.col("c_custkey") % 70).cast("string")))).alias("v"))
+    return tokens(spark, d).select("v").unionByName(made)
+
+
+_AFFIXED = "tok2 AS (SELECT v FROM tok UNION ALL SELECT right(c_custkey::VARCHAR, 2) || left(c_name, 8) FROM customer UNION ALL SELECT left(c_name, 8) || (1950 + c_custkey % 70)::VARCHAR FROM customer)"
+
+
 def _affix_sql(affix: str, core: str) -> str:
-    return rf"WITH {TOK}, cut AS (SELECT {affix} AS affix, {core} AS core FROM tok, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE length(v) - n >= 4) SELECT affix, count(*) AS cnt FROM cut WHERE regexp_matches(affix, '{chars.AFFIX}') AND regexp_matches(core, '[A-Za-z]') GROUP BY 1"
+    return rf"WITH {TOK}, {_AFFIXED}, cut AS (SELECT {affix} AS affix, {core} AS core FROM tok2, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE length(v) - n >= 4) SELECT affix, count(*) AS cnt FROM cut WHERE regexp_matches(affix, '{chars.AFFIX}') AND regexp_matches(core, '[A-Za-z]') GROUP BY 1"
 
 
 @query(_affix_sql("v[1:n]", "v[n + 1:]"))
 def prefix_freq(spark: SparkSession, d: str) -> DataFrame:
-    return stats.affixes(tokens(spark, d))
+    return stats.affixes(_with_customers(spark, d))
 
 
 @query(_affix_sql("right(v, n)", "left(v, length(v) - n)"))
 def suffix_freq(spark: SparkSession, d: str) -> DataFrame:
-    return stats.affixes(tokens(spark, d), end=True)
+    return stats.affixes(_with_customers(spark, d), end=True)
 
 
 _POLICY = "length(v) >= 9 AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')"
@@ -113,12 +128,12 @@ def average_structure_length(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TOK} SELECT {SHAPE} AS shape, count(*) AS cnt FROM tok GROUP BY 1")
 def shape_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d).groupBy(chars.shape(F.col("v")).alias("shape")).agg(F.count("*").alias("cnt"))
+    return _distinct(spark, d).groupBy(chars.shape(F.col("v")).alias("shape")).agg(F.sum("m").alias("cnt"))
 
 
 @query(f"WITH {TOK}, m AS (SELECT {PATTERN} AS pattern, count(*) AS cnt FROM tok GROUP BY 1) SELECT pattern, cnt, cnt * 1.0::DOUBLE / (SELECT sum(cnt) FROM m) AS p FROM m")
 def pattern_mass(spark: SparkSession, d: str) -> DataFrame:
-    return stats.with_share(tokens(spark, d).groupBy(chars.pattern(F.col("v")).alias("pattern")).agg(F.count("*").alias("cnt")))
+    return stats.with_share(_distinct(spark, d).groupBy(chars.pattern(F.col("v")).alias("pattern")).agg(F.sum("m").alias("cnt")))
 
 
 @query(f"WITH {EMISSIONS}, r AS (SELECT label, surface AS v, cnt, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, surface) AS rn FROM em) SELECT label, {SHAPE} || '{MASKED}' || left(sha256(v), 10) AS masked, cnt, rn FROM r WHERE rn <= 20")
@@ -192,6 +207,12 @@ def label_trim(spark: SparkSession, d: str) -> DataFrame:
     return df.select("label", F.left(F.sha2("surface", 256), F.lit(16)).alias("surface_id"), "rn", "p")
 
 
+@query(f"WITH {EMISSIONS}, r AS (SELECT label, surface, cnt, sum(cnt) OVER (PARTITION BY label) AS total, row_number() OVER (PARTITION BY label ORDER BY cnt DESC, surface) AS rn FROM em) SELECT label, left(sha256(surface), 16) AS surface_id, rn, cnt * 1.0::DOUBLE / total AS p FROM r WHERE rn <= 50")
+def label_trim_by_count(spark: SparkSession, d: str) -> DataFrame:
+    df = grammar.trim(_emissions(spark, d), "surface", "label", most=50)
+    return df.select("label", F.left(F.sha2("surface", 256), F.lit(16)).alias("surface_id"), "rn", "p")
+
+
 @query(f"WITH {STRUCTURES}, r AS (SELECT cnt, sum(cnt) OVER (ORDER BY cnt DESC, sp ROWS UNBOUNDED PRECEDING) - cnt AS before, sum(cnt) OVER () AS total FROM st) SELECT min(cnt * 1.0::DOUBLE / total) AS min_p, count(*) AS n_values FROM r WHERE before < 0.9::DOUBLE * total")
 def min_prob_for_coverage(spark: SparkSession, d: str) -> DataFrame:
     return grammar.least_p_for(_structures(spark, d), "sp", 0.9)
@@ -233,7 +254,7 @@ def hash_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH {TRAIN}, up AS (SELECT v, cnt, rn, lag(cnt) OVER (ORDER BY rn) AS b FROM rk) SELECT count(*) AS total, count(DISTINCT v) AS n_unique, 0::BIGINT AS n_repeated, 0::BIGINT AS n_extra, count(*) FILTER (cnt > b) AS n_rising FROM up"
+    f"WITH {TRAIN}, up AS (SELECT v, cnt, rn, lag(cnt) OVER (ORDER BY rn) AS b FROM rk) SELECT count(*) AS total, count(DISTINCT v) AS n_unique, (SELECT count(*) FROM (SELECT v FROM rk GROUP BY v HAVING count(*) > 1)) AS n_repeated, count(*) - count(DISTINCT v) AS n_extra, count(*) FILTER (cnt > b) AS n_rising FROM up"
 )
 def rank_audit(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.rank_audit(grammar.ranked(_train(spark, d), "value"), p="cnt")
@@ -255,11 +276,15 @@ def email_parts(spark: SparkSession, d: str) -> DataFrame:
     return mail.groupBy(F.left(F.sha2("v", 256), F.lit(16)).alias("email_id"), F.length(chars.email_local(F.col("v"))).alias("local_len"), chars.email_domain(F.col("v")).alias("main_label")).agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (c_custkey % 3 = 0) AS n_same, CASE WHEN count(*) > 0 THEN count(*) FILTER (c_custkey % 3 = 0) * 1.0::DOUBLE / count(*) ELSE 0 END AS rate FROM customer")
+@query(
+    f"WITH made AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'no address' ELSE 'c' || c_custkey || '@a.example.org' END AS k, CASE WHEN c_custkey % 3 = 0 THEN upper('c' || c_custkey) WHEN c_custkey % 3 = 1 THEN 'c' || c_custkey || 'x' END AS v FROM customer), "
+    f"valid AS (SELECT lower(split_part(k, '@', 1)) = lower(v) AS same FROM made WHERE regexp_matches(k, '{chars.EMAIL}') AND v IS NOT NULL) SELECT count(*) AS n, count(*) FILTER (same) AS n_same, CASE WHEN count(*) > 0 THEN count(*) FILTER (same) * 1.0::DOUBLE / count(*) ELSE 0 END AS rate FROM valid"
+)
 def match_rate(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
-    made = c.select(F.concat(name, F.lit("@a.example.org")).alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.upper(name)).otherwise(F.concat(name, F.lit("x"))).alias("v"))
+    key = F.when(F.col("c_custkey") % 7 == 0, "no address").otherwise(F.concat(name, F.lit("@a.example.org")))
+    made = c.select(key.alias("k"), F.when(F.col("c_custkey") % 3 == 0, F.upper(name)).when(F.col("c_custkey") % 3 == 1, F.concat(name, F.lit("x"))).alias("v"))
     return stats.match_rate(made, "k", "v")
 
 
@@ -285,10 +310,9 @@ def leet_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.count_if((F.col("term") != F.lower("v")) & (F.length("v") >= 4)).alias("n_leet"))
 
 
-@query(f"WITH {_DICT}, w AS (SELECT v, count(*) AS m FROM tok WHERE length(v) >= 4 GROUP BY 1), s AS (SELECT m, i, lower(v[i:i + n - 1]) AS term FROM w, (SELECT unnest(range(1, 200)) AS i), (SELECT unnest(range(4, 13)) AS n) WHERE i + n - 1 <= length(v)) SELECT term, sum(m)::BIGINT AS n_found, count(*) AS n_places FROM s JOIN dict USING (term) GROUP BY 1")
+@query(f"WITH {_DICT}, w AS (SELECT v, count(*) AS m FROM tok WHERE length(v) >= 4 GROUP BY 1), at_ AS (SELECT m, v, unnest(range(1, length(v) + 1)) AS i FROM w), s AS (SELECT m, i, lower(v[i:i + n - 1]) AS term FROM at_, (SELECT unnest(range(4, 13)) AS n) WHERE i + n - 1 <= length(v)) SELECT term, sum(m)::BIGINT AS n_found, count(*) AS n_places FROM s JOIN dict USING (term) GROUP BY 1")
 def dictionary_match(spark: SparkSession, d: str) -> DataFrame:
     distinct = tokens(spark, d).where(F.length("v") >= 4).groupBy("v").agg(F.count("*").alias("m"))
-    # The SQL looks at the first 199 places of a value only.
     found = stats.contains_terms(distinct, _dictionary(spark, d), longest=12, shortest=4)
     return found.groupBy("term").agg(F.sum("m").alias("n_found"), F.count("*").alias("n_places"))
 
@@ -315,9 +339,18 @@ def first_rows(spark: SparkSession, d: str) -> DataFrame:
     return sources.first_rows(table(spark, d, "documents").select("doc_id"), 100, "doc_id")
 
 
-@query(f"WITH {TOK} SELECT doc_id, count(*) AS n FROM tok WHERE doc_id % 10 = 3 GROUP BY 1")
+@query("SELECT 10::BIGINT AS n_parts, count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids FROM documents")
+def sample_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The disjoint pseudo-random samples of all documents: together they are the table."""
+    docs = table(spark, d, "documents").select("doc_id")
+    parts = [sources.sample_window(docs, "doc_id", i, 10, seed=3).select(F.lit(i).alias("part"), "doc_id") for i in range(10)]
+    return reduce(DataFrame.unionByName, parts).agg(F.count_distinct("part").alias("n_parts"), F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_ids"))
+
+
+@query("SELECT least(500, count(*))::BIGINT AS n_rows, least(500, count(*))::BIGINT AS n_ids FROM documents")
 def sample_rows(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d).where("doc_id % 10 = 3").groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = table(spark, d, "documents").select("doc_id")
+    return sources.random_rows(docs, 500, seed=11).join(docs, "doc_id", "left_semi").agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_ids"))
 
 
 @query("SELECT name, count(*) FILTER (v IS NULL) AS n_null, count(*) FILTER (v = '') AS n_empty, count(*) FILTER (v <> '') AS n_usable FROM (SELECT 'text' AS name, text AS v FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY 1")
@@ -325,10 +358,25 @@ def row_accounting(spark: SparkSession, d: str) -> DataFrame:
     return sources.accounting(table(spark, d, "documents"), "text", "lang", "source")
 
 
-@query(f"WITH {TOK}, ps AS (SELECT k || '@' || v AS v FROM (SELECT lang AS k, v FROM tok)), st AS (SELECT {SP} AS sp, count(*) AS cnt FROM ps GROUP BY 1) SELECT sp, cnt, cnt * 1.0::DOUBLE / (SELECT sum(cnt) FROM st) AS p FROM st")
+_PAIRED = f"{TOK}, ps AS (SELECT lang AS k, v FROM tok), kp AS (SELECT k, v, {SP} AS sv, {SP.replace('(v,', '(k,')} AS sk, count(*) AS cnt FROM ps GROUP BY k, v)"
+
+
+def _pairs_of_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens(spark, d).groupBy(F.col("lang").alias("key"), F.col("v").alias("value")).agg(F.count("*").alias("m"))
+
+
+@query(f"WITH {_PAIRED}, st AS (SELECT sk || ' acc_pwd_sep ' || sv AS sp, sum(cnt)::BIGINT AS cnt FROM kp GROUP BY 1) SELECT sp, cnt, cnt * 1.0::DOUBLE / (SELECT sum(cnt) FROM st) AS p FROM st")
 def integer_baseline(spark: SparkSession, d: str) -> DataFrame:
-    joined = tokens(spark, d).select(F.concat("lang", F.lit("@"), "v").alias("v"))
-    return grammar.normalise(grammar.structure_counts(joined))
+    return grammar.normalise(grammar.pair_structures(_pairs_of_tokens(spark, d)))
+
+
+@query(
+    f"WITH {_PAIRED}, em AS (SELECT {CLASS} || length(x) AS label, x AS surface, sum(cnt)::BIGINT AS cnt FROM (SELECT unnest(regexp_extract_all(k, '{RUN}', 1)) AS x, cnt FROM kp UNION ALL SELECT unnest(regexp_extract_all(v, '{RUN}', 1)), cnt FROM kp) GROUP BY 1, 2), t AS (SELECT label, sum(cnt) AS total FROM em GROUP BY 1) "
+    "SELECT label, left(sha256(surface), 16) AS surface_id, cnt, cnt * 1.0::DOUBLE / total AS p FROM em JOIN t USING (label)"
+)
+def integer_emissions(spark: SparkSession, d: str) -> DataFrame:
+    df = grammar.normalise(grammar.pair_emissions(_pairs_of_tokens(spark, d)), "label")
+    return df.select("label", F.left(F.sha2("surface", 256), F.lit(16)).alias("surface_id"), "cnt", "p")
 
 
 @query(
@@ -339,38 +387,100 @@ def redacted_report(spark: SparkSession, d: str) -> DataFrame:
     return grammar.report(_structures(spark, d), _emissions(spark, d), salt="pepper")
 
 
-def _distinct(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(spark, d).groupBy("v").agg(F.count("*").alias("m"))
+def _pattern_counts(df: DataFrame, detect, start: str) -> DataFrame:
+    """label, cnt, n_values of what a detector finds in distinct values (v, m)."""
+    found = parse.segments(df, detect=lambda x: [(t, k or "") for t, k in detect(x) or []]).select("m", F.explode("segs").alias("s")).where(F.startswith("s.label", F.lit(start)))
+    return found.groupBy(F.col("s.label").alias("label")).agg(F.sum("m").alias("cnt"), F.count("*").alias("n_values"))
 
 
-def _pattern_counts(spark: SparkSession, d: str, start: str) -> DataFrame:
-    found = parse.segments(_distinct(spark, d)).select("m", F.explode("segs").alias("s")).where(F.col("s.label").rlike(f"^{start}[0-9]+$"))
-    return found.groupBy(F.col("s.label").alias("label")).agg(F.sum("m").alias("cnt"), F.count("*").alias("n_values"))
+_COUNTED = "SELECT label, sum(m)::BIGINT AS cnt, count(*) AS n_values FROM hit GROUP BY 1"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-@query()
+# Every unit from every place, then from the left the first that counts after the end of the one before.
+@query(
+    f"""WITH RECURSIVE {TOK}, w AS (SELECT v, lower(v) AS f, count(*) AS m, length(v) AS n FROM tok GROUP BY v),
+    at_ AS (SELECT v, f, m, n, unnest(range(1, n)) AS i FROM w), unit AS (SELECT *, unnest(range(1, (n - i + 1) // 2 + 1)) AS u FROM at_),
+    twice AS (SELECT v, f, m, n, i, u, f[i:i + u - 1] AS x FROM unit WHERE f[i:i + u - 1] = f[i + u:i + 2 * u - 1] AND regexp_full_match(f[i:i + u - 1], '[a-z0-9]+')),
+    times AS (SELECT *, len(list_filter(range(1, (n - i + 1) // u + 1), lambda k: f[i:i + k * u - 1] = repeat(x, k))) AS k FROM twice),
+    fits AS (SELECT v, m, i, u, i + k * u AS e, 'sr' || k AS label FROM times WHERE CASE WHEN regexp_full_match(x, '[0-9]+') THEN k >= 3 AND NOT regexp_matches(v[i - 1:i - 1], '[0-9]') AND NOT regexp_matches(v[i + k * u:i + k * u], '[0-9]')
+        ELSE (k >= 3 OR u > 1) AND NOT (i > 1 AND regexp_matches(v[i - 1:i - 1], '\\p{{L}}')) AND NOT regexp_matches(v[i + k * u:i + k * u], '\\p{{L}}') END),
+    best AS (SELECT v, m, i, arg_min(e, u) AS e, arg_min(label, u) AS label FROM fits GROUP BY v, m, i),
+    hit AS (SELECT v, m, min(i) AS i, arg_min(e, i) AS e, arg_min(label, i) AS label FROM best GROUP BY v, m
+        UNION ALL SELECT v, m, i, e, label FROM (SELECT b.*, row_number() OVER (PARTITION BY b.v ORDER BY b.i) AS r FROM hit h JOIN best b ON b.v = h.v AND b.i >= h.e) WHERE r = 1)
+    {_COUNTED}"""
+)
 def repeat_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _pattern_counts(spark, d, "sr")
+    return _pattern_counts(_distinct(spark, d), patterns.repeats, "sr")
 
 
-@query()
+_ALPHA_MADE = f"'{_LETTERS}'[1 + c_custkey % 20:3 + c_custkey % 20 + c_custkey % 4] || c_custkey || '!'"
+
+
+@query(f"WITH {TOK}, w AS (SELECT v, count(*) AS m FROM (SELECT v FROM tok UNION ALL SELECT {_ALPHA_MADE} FROM customer) GROUP BY v), x AS (SELECT m, unnest(regexp_extract_all(v, '\\p{{L}}+')) AS x FROM w), hit AS (SELECT 'alpha' || length(x) AS label, m FROM x WHERE length(x) >= 3 AND contains('{_LETTERS}', lower(x))) {_COUNTED}")
 def alpha_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _pattern_counts(spark, d, "alpha")
+    k = F.col("c_custkey")
+    made = table(spark, d, "customer").select(F.concat(F.substring(F.lit(_LETTERS), (1 + k % 20).cast("int"), (3 + k % 4).cast("int")), k.cast("string"), F.lit("!")).alias("v"))
+    values = tokens(spark, d).select("v").unionByName(made).groupBy("v").agg(F.count("*").alias("m"))
+    return _pattern_counts(values, patterns.alphabet_runs, "alpha")
 
 
-@query()
+_KEYS = ", ".join("(" + ", ".join(["'" + c.replace("'", "''") + "'", str(r), str(i)]) + ")" for c, (r, i) in patterns.KEYS.items())
+
+
+@query(
+    f"""WITH {TOK}, keys(c, r, x) AS (VALUES {_KEYS}), w AS (SELECT v, count(*) AS m FROM tok WHERE length(v) >= 4 GROUP BY v), ch AS (SELECT v, m, unnest(range(1, length(v) + 1)) AS i FROM w),
+    k AS (SELECT v, m, i, v[i:i] AS c, r, x, lag(r) OVER o AS r0, lag(x) OVER o AS x0 FROM ch LEFT JOIN keys ON c = v[i:i] WINDOW o AS (PARTITION BY v ORDER BY i)),
+    run AS (SELECT *, sum(CASE WHEN coalesce((r = r0 AND abs(x - x0) = 1) OR (r = r0 + 1 AND x - x0 IN (0, -1)) OR (r = r0 - 1 AND x - x0 IN (0, 1)), false) THEN 0 ELSE 1 END) OVER (PARTITION BY v ORDER BY i) AS n, CASE WHEN c BETWEEN '0' AND '9' THEN 'D' WHEN regexp_matches(c, '[A-Za-z]') THEN 'L' ELSE 'S' END AS kind FROM k),
+    ends AS (SELECT v, n, max(i) AS e FROM run GROUP BY 1, 2 HAVING count(*) >= 4),
+    tail AS (SELECT a.v, a.m, a.n, a.i, e, a.v[a.i:e] AS s, count(DISTINCT b.r) AS n_rows, count(DISTINCT b.kind) AS n_kinds FROM run a JOIN ends USING (v, n) JOIN run b ON b.v = a.v AND b.n = a.n AND b.i >= a.i WHERE e - a.i >= 3 GROUP BY ALL),
+    walk AS (SELECT v, m, n, min(i) AS i, any_value(e) AS e FROM tail WHERE n_rows = 1 OR (n_kinds >= 2 AND NOT regexp_matches(lower(s), '{'|'.join(patterns.NO_WALK)}')) GROUP BY v, m, n),
+    hit AS (SELECT 'kb' || (e - i + 1) AS label, m FROM walk WHERE NOT regexp_full_match(v[i:e], '[0-9]+')) {_COUNTED}"""
+)
 def keyboard_walks(spark: SparkSession, d: str) -> DataFrame:
-    return _pattern_counts(spark, d, "kb")
+    return _pattern_counts(_distinct(spark, d), lambda x: patterns.walks(x)[0], "kb")
+
+
+@query()
+def coarse_structures(spark: SparkSession, d: str) -> DataFrame:
+    """Structures of the whole coarse pass: repeats, walks, three keys, alphabet runs and the rest."""
+    found = parse.segments(_distinct(spark, d)).select("m", F.array_join(F.transform("segs", lambda s: s["label"]), " ").alias("sp"))
+    return found.groupBy("sp").agg(F.sum("m").alias("cnt"))
+
+
+_RELATED = """WITH p AS (SELECT 'c' || c_custkey || '@m.shop' || c_custkey % 9 || '.example' AS k, CASE c_custkey % 5 WHEN 0 THEN upper('c' || c_custkey || '@m.shop' || c_custkey % 9 || '.example') WHEN 1 THEN 'c' || c_custkey || '!C' || c_custkey WHEN 2 THEN 'xm.Shop' || c_custkey % 9 || '.example' WHEN 3 THEN 'my' || 'm' || c_custkey ELSE 'other' END AS v FROM customer),
+    q AS (SELECT lower(v) AS v, lower(k) AS k, split_part(lower(k), '@', 2) AS host, split_part(lower(k), '@', 1) AS loc FROM p), l AS (SELECT *, string_split(host, '.') AS ls FROM q),
+    z AS (SELECT v, k, host, loc, CASE WHEN len(ls) >= 3 THEN ls[-3] WHEN len(ls) = 2 THEN ls[1] ELSE host END AS main FROM l),
+    r AS (SELECT v, CASE WHEN v = k THEN k WHEN contains(v, host) THEN host WHEN contains(v, loc) THEN loc WHEN contains(v, main) THEN main END AS part, CASE WHEN v = k THEN 'acc_pwd_same' WHEN contains(v, host) THEN 'acc_email_domain_com' WHEN contains(v, loc) THEN 'acc_email_name' ELSE 'acc_email_domain' END AS label FROM z)
+    SELECT label, count(*) AS n_values, sum((length(v) - length(replace(v, part, ''))) // length(part))::BIGINT AS n_parts FROM r WHERE part IS NOT NULL GROUP BY 1"""
+
 
+@query(_RELATED)
+def key_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that values take from their keys, as segments. The pairs are made of customer numbers."""
+    n = F.col("c_custkey")
+    name, host = F.concat(F.lit("c"), n.cast("string")), F.concat(F.lit("m.shop"), (n % 9).cast("string"), F.lit(".example"))
+    key = F.concat(name, F.lit("@"), host)
+    value = F.when(n % 5 == 0, F.upper(key)).when(n % 5 == 1, F.concat(name, F.lit("!C"), n.cast("string"))).when(n % 5 == 2, F.concat(F.lit("x"), F.replace(host, F.lit("shop"), F.lit("Shop")))).when(n % 5 == 3, F.concat(F.lit("mym"), n.cast("string"))).otherwise("other")
+    made = sources.pairs(table(spark, d, "customer").select(key.alias("k"), value.alias("v")), "k", "v")
+    parts = parse.related_segments(made).select("key", F.explode("segs").alias("s")).where(F.startswith("s.label", F.lit("acc_")))
+    return parts.groupBy(F.col("s.label").alias("label")).agg(F.count_distinct("key").alias("n_values"), F.count("*").alias("n_parts"))
 
-def _terms(spark: SparkSession, d: str) -> Terms:
-    plain = tokens(spark, d).where(F.col("v").rlike(r"^\p{Ll}{3,12}$")).groupBy("v").agg(F.count("*").alias("c"))
-    rows = plain.where("c >= 5").select("v").collect()
-    return Terms(words=frozenset(r["v"] for r in rows), syllables=frozenset(r["v"] for r in rows if len(r["v"]) <= 3))
+
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    """term, label: the corpus's own frequent short words, those of up to three letters as syllables too."""
+    plain = tokens(spark, d).where(F.col("v").rlike(r"^\p{Ll}{3,12}$")).groupBy(F.col("v").alias("term")).agg(F.count("*").alias("c")).where("c >= 5")
+    labels = F.when(F.length("term") <= 3, F.array(F.lit("word"), F.lit("syllable"))).otherwise(F.array(F.lit("word")))
+    return plain.select("term", F.explode(labels).alias("label"))
+
+
+def _cut_here(df: DataFrame) -> DataFrame:
+    """Computed once for several uses, in the folder that all executors share if the session names one."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return parse.samples(parse.parses(tokens(spark, d), _terms(spark, d), Config.from_env()))
+    return _cut_here(parse.samples(parse.parses(tokens(spark, d), _terms(spark, d), Config.from_env())))
 
 
 @query()
@@ -378,6 +488,18 @@ def kbest_parses(spark: SparkSession, d: str) -> DataFrame:
     return _samples(spark, d).select(chars.masked(F.col("v")).alias("value_id"), "sp", F.round("logp", 9).alias("logp"), F.round("w", 9).alias("w"), "m")
 
 
+@query()
+def named_parses(spark: SparkSession, d: str) -> DataFrame:
+    """Soft counts by label where names and name forms are known: nations are names, regions are forms, and values join them with numbers."""
+    nations, regions = table(spark, d, "nation"), table(spark, d, "region")
+    name, form = F.lower(F.regexp_replace("n_name", "[^A-Za-z]", "")), F.lower(F.regexp_replace("r_name", "[^A-Za-z]", ""))
+    terms = nations.select(name.alias("term"), F.lit("name").alias("label")).unionByName(regions.select(form.alias("term"), F.lit("cn_name_full").alias("label"))).unionByName(_terms(spark, d))
+    both = nations.join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey"))
+    values = both.select(F.explode(F.array(F.concat(name, F.col("n_nationkey").cast("string")), F.concat(F.lit("my"), form), F.concat(form, name), F.concat(F.initcap(name), F.lit("_2001")))).alias("v"))
+    found = parse.samples(parse.parses(values, terms, Config.from_env())).select((F.col("w") * F.col("m")).alias("w"), F.explode("segs.label").alias("label"))
+    return found.groupBy("label").agg(F.round(F.sum("w"), 6).alias("cnt"))
+
+
 @query()
 def soft_structure_probs(spark: SparkSession, d: str) -> DataFrame:
     return grammar.normalise(parse.soft_structures(_samples(spark, d))).select("sp", F.round("cnt", 6).alias("cnt"), F.round("p", 9).alias("p"))
@@ -389,24 +511,23 @@ def soft_emission_probs(spark: SparkSession, d: str) -> DataFrame:
     return df.select("label", F.left(F.sha2("surface", 256), F.lit(16)).alias("surface_id"), F.round("cnt", 6).alias("cnt"), F.round("p", 9).alias("p"))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    s = _samples(spark, d).persist()  # parsed once for three uses
-    return parse.scores(s, grammar.normalise(parse.soft_structures(s)), grammar.normalise(parse.soft_emissions(s), "label"))
+def _model(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return grammar.normalise(parse.soft_structures(s)), grammar.normalise(parse.soft_emissions(s), "label")
 
 
 @query()
 def score_values(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select(chars.masked(F.col("v")).alias("value_id"), F.round("log_p", 6).alias("log_p"))
+    s = _samples(spark, d)
+    return parse.scores(s, *_model(s)).select(chars.masked(F.col("v")).alias("value_id"), F.round("log_p", 6).alias("log_p"))
 
 
-#: Values drawn for the guess-number estimate.
+#: Paths drawn from the model for the guess-number estimate.
 DRAWN = 10_000
 
 
 @query()
 def guess_number(spark: SparkSession, d: str) -> DataFrame:
-    scored = _scored(spark, d)
-    # Occurrences of values are drawn, which is drawing by the chances that the corpus gives.
-    drawn = tokens(spark, d).orderBy(F.xxhash64("doc_id", "v")).limit(DRAWN).join(scored, "v").select("log_p")
-    out = parse.guess_numbers(scored, drawn)
+    s = _samples(spark, d)
+    structures, emissions = map(_cut_here, _model(s))
+    out = parse.guess_numbers(parse.scores(s, structures, emissions), parse.draws(structures, emissions, DRAWN))
     return out.groupBy(F.floor("log10_guesses").cast("long").alias("log10_guesses")).agg(F.count("*").alias("n_values"))

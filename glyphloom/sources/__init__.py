@@ -89,12 +89,24 @@ def with_specials(terms: DataFrame, replacements: list[str], mark: str = "[SPECI
 RANKED = T.StructType([T.StructField("value", T.StringType()), T.StructField("p", T.DoubleType())])
 
 
-def ranked_list(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """value, p from tab-separated lines. Not strict: lines without exactly two fields go, and a bad number counts as 0."""
+def ranked_list(spark: SparkSession, path: str, strict: bool = False, bad: str = "zero") -> DataFrame:
+    """value, p from tab-separated lines. Not strict: lines without exactly two fields go, and a line with a bad number counts as 0 or goes (``bad`` "drop")."""
     if strict:
         return spark.read.csv(path, sep="\t", schema=RANKED, mode="FAILFAST", quote="")
     fields = F.split("value", "\t", -1)
-    return spark.read.text(path).withColumn("f", fields).where(F.size("f") == 2).select(F.get("f", F.lit(0)).alias("value"), F.coalesce(F.get("f", F.lit(1)).try_cast("double"), F.lit(0.0)).alias("p"))
+    rows = spark.read.text(path).withColumn("f", fields).where(F.size("f") == 2).select(F.get("f", F.lit(0)).alias("value"), F.get("f", F.lit(1)).try_cast("double").alias("p"))
+    return rows.where("p is not null") if bad == "drop" else rows.fillna(0.0, "p")
+
+
+def json_counts(spark: SparkSession, path: str) -> DataFrame:
+    """key, cnt from files that each hold one JSON object of numbers."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", "map<string,double>"))).toDF("key", "cnt")
+
+
+def write_sorted_json(counts: DataFrame, path: str, key: str = "key", count: str = "cnt") -> None:
+    """A JSON line for each key, most first."""
+    counts.orderBy(F.desc(count), key).write.mode("overwrite").json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from glyphloom.plans import registry
 from glyphloom.streaming import incremental
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "customer orders documents".split()
+TABLES = "customer orders documents nation region".split()
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,22 @@ def test_mass_prune(spark):
     assert {r["sp"]: r["rn"] for r in grammar.ranked(counts, "sp").collect()} == {"a": 1, "b": 2, "c": 3, "d": 4}
 
 
+def test_ranks_are_those_of_a_sort(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [("".join(r.choice("abé") for _ in range(r.randrange(1, 9))) + str(i), r.choice("xy"), r.choice([1, 1, 1, 2, 5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "v string, lang string, cnt long")
+    for by in (None, "lang"):
+        got = {x["v"]: (x["rn"], x["before"], x["total"]) for x in grammar.ranked(df, "v", by).collect()}
+        for lang in ("x", "y") if by else (None,):
+            own = sorted((x for x in rows if lang in (None, x[1])), key=lambda x: (-x[2], x[0].encode()))
+            upto = 0
+            for i, (v, _, n) in enumerate(own):
+                assert got[v] == (i + 1, upto, sum(x[2] for x in own))
+                upto += n
+
+
 def test_soft_counts_add_up(spark):
     df = spark.createDataFrame([("password1",), ("password1",), ("qwerty",), ("31-12",), ("zzz",)], "v string")
     s = parse.samples(parse.parses(df, Terms(words=frozenset(["pass", "word", "password"]))))
@@ -115,10 +131,75 @@ def test_all_terms_are_taken(spark, tmp_path):
     words = [f"{a}{b}{c}{e}" for a in "bcdfghjklm" for b in "aeiou" for c in "bcdfghjklmnprst" for e in "abcdefgh"]
     rows = [(i, " ".join(words), "en") for i in range(5)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert len(words) > 5000 and registry._terms(spark, str(tmp_path)).words == frozenset(words)
+    found = parse.as_terms([tuple(r) for r in registry._terms(spark, str(tmp_path)).collect()])
+    assert len(words) > 5000 and found.words == frozenset(words)
+
+
+def test_terms_whole_or_with_each_value(spark):
+    terms = spark.createDataFrame([("pass", "word"), ("word", "word"), ("password", "word"), ("ann", "name"), ("pa", "syllable"), ("panwo", "cn_name_full"), ("an.na", "cn_name_special")], "term string, label string")
+    df = spark.createDataFrame([(v,) for v in ["password1", "p4ssw0rd!", "AnnPanwo77", "an.na9", "qwerty", "ÉtéPass", "zzz", "x"] * 2], "v string")
+    got = [sorted(repr(r) for r in parse.parses(df, terms, most_terms=n).collect()) for n in (100, 1)]
+    assert got[0] == got[1] and len(got[0]) == 8
+    labels = {x["label"] for r in parse.samples(parse.parses(df, terms)).collect() for x in r["segs"]}
+    assert {"cn_name_special", "cn_name_full", "en_name", "leet"} <= labels
+
+
+def test_values_are_parsed_once(spark):
+    for df in (registry.QUERIES["keyboard_walks"](spark, DATA), registry.QUERIES["coarse_structures"](spark, DATA), parse.samples(parse.parses(sources.tokens(spark, DATA), Terms(words=frozenset(["pass"]))))):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("ArrowEvalPython") == 1
+
+
+def test_counts_are_read_once(spark):
+    for name in ("structure_distribution", "emission_probs"):
+        df = registry.QUERIES[name](spark, DATA)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in plan and plan.count("FileScan") == 1
+
+
+def test_guess_numbers_are_ranks(spark):
+    structures = spark.createDataFrame([("L D", 0.7), ("L", 0.3)], "sp string, p double")
+    emissions = spark.createDataFrame([("L", f"w{i}", 0.5**i) for i in range(1, 9)] + [("D", str(i), 0.1) for i in range(10)], "label string, surface string, p double")
+    emissions = grammar.normalise(emissions.withColumnRenamed("p", "cnt"), "label")
+    by = {}
+    for r in emissions.collect():
+        by.setdefault(r["label"], []).append((r["surface"], r["p"]))
+    chances = {w + d: 0.7 * p * q for w, p in by["L"] for d, q in by["D"]} | {w: 0.3 * p for w, p in by["L"]}
+    drawn = parse.draws(structures, emissions, 20_000)
+    assert drawn.count() == 20_000
+    import math
+
+    scored = spark.createDataFrame([(v, math.log(p)) for v, p in chances.items()], "v string, log_p double")
+    for r in parse.guess_numbers(scored, drawn).collect():
+        rank = sum(p > math.exp(r["log_p"]) * (1 + 1e-9) for p in chances.values())
+        assert abs(10 ** r["log10_guesses"] - max(rank, 1)) <= 0.25 * rank + 1
+
+
+def test_other_readers(spark, tmp_path):
+    (tmp_path / "ranks").write_text("a\t0.5\nb\tx\nbad\n")
+    assert [tuple(r) for r in sources.ranked_list(spark, f"file://{tmp_path}/ranks", bad="drop").collect()] == [("a", 0.5)]
+    (tmp_path / "counts.json").write_text('{"x y": 1, "z": 3.5}')
+    counts = sources.json_counts(spark, f"file://{tmp_path}/counts.json")
+    sources.write_sorted_json(counts, f"file://{tmp_path}/sorted")
+    assert [tuple(r) for r in spark.read.schema("key string, cnt double").json(f"file://{tmp_path}/sorted").collect()] == [("z", 3.5), ("x y", 1.0)]
+    sources.write_csv(counts, f"file://{tmp_path}/csv")
+    assert spark.read.csv(f"file://{tmp_path}/csv", header=True).count() == 2
+    sources.head_of_file(spark, f"file://{tmp_path}/ranks", 2, f"file://{tmp_path}/head")
+    assert [r[0] for r in spark.read.text(f"file://{tmp_path}/head").collect()] == ["a\t0.5", "b\tx"]
+    assert grammar.normalised_weights([1, 3]) == [0.25, 0.75]
+    for bad in ([], [0.0], [1, -1]):
+        with pytest.raises(ValueError):
+            grammar.normalised_weights(bad)
+    p = spark.createDataFrame([("a", 0.5), ("b", 0.0), ("c", 1.5)], "v string, p double")
+    assert {r["v"]: r["p"] for r in grammar.positive(p).collect()} == {"a": 0.25, "c": 0.75}
 
 
 def test_terms_in_long_values(spark, tmp_path):
     rows = [(i, "apple", "en") for i in range(20)] + [(20, "7" * 150 + "apple" + "7" * 100 + "apple", "en"), (21, "7" * 203 + "apple", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(x) for x in registry.QUERIES["dictionary_match"](spark, str(tmp_path)).collect()] == [("apple", 23, 4)]
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert c.sql(registry.ORACLE_SQL["dictionary_match"]).fetchall() == [("apple", 23, 4)]

@@ -111,6 +111,13 @@ def test_relations(key, value, labels):
     assert " ".join(k for _, k in patterns.related(key, value)) == labels
 
 
+def test_joined_names():
+    names = {"an.na": "cn_name_special", "li_wei": "cn_name_special"}
+    assert patterns.coarse("An.na7", names) == [("An.na", "cn_name_special"), ("7", "D")]
+    assert " ".join(k for _, k in patterns.coarse("an.nali_wei", names)) == "L S L S L"  # two are taken for chance
+    assert " ".join(k for _, k in patterns.coarse("qwertyan.na", names)) == "kb6 cn_name_special"
+
+
 def test_posteriors():
     assert [round(w, 3) for _, w in lattice.posteriors([0, -1], 1.8, 0.1, 3)] == [0.858, 0.142]
     assert lattice.posteriors([0, -2], 1.8, 0.1, 3) == [(0, 1.0)]
