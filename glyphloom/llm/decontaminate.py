@@ -2,7 +2,8 @@
 
 A text's words become templates: a number, a name (capitalised inside a sentence) or a
 unit after a number becomes a typed placeholder that remembers its value; case and
-punctuation go. Windows of template words are joined by hash with the windows of the
+punctuation go. Capitals say nothing in a run of capitalised words (a title, a text in
+capitals), so such runs have no names. Windows of template words are joined by hash with the windows of the
 benchmark. Where a window has placeholders, the values in the benchmark item and those
 in the document are paired; an item asked again with other parameters pairs each old
 value with one new value throughout (consistency).
@@ -27,6 +28,8 @@ from .common import fixed, without_punctuation, words_of
 
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 PLACEHOLDERS = f"{NAME}-{UNIT}"
+#: Stands around a run of capitalised words while a text is read; so many words are a run.
+RUN, CAPITALS = "\ue004", 5
 # Units of measure.
 UNITS = "mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec min h hr hrs hz khz mhz ghz w kw mw kwh v a j kj k c f pa kpa mpa bar mph kph percent dollars euros pounds cents usd eur gbp"
 #: Joins the values of a window.
@@ -44,11 +47,24 @@ class DecontaminationParams:
     broadcast_windows: int = 500_000
 
 
-def template_words(text: Column) -> Column:
-    """Words of a text, lower-cased, without punctuation; a placeholder word starts with its type, and its value follows."""
-    t = F.coalesce(text, F.lit(""))
-    for c in (NAME, NUMBER, UNIT):
-        t = F.replace(t, F.lit(c), F.lit(""))
+def _evened(t: Column) -> Column:
+    """A text with its runs of capitalised words in lower case, their marks taken out again."""
+    t = F.regexp_replace(t, f"((?:\\p{{Lu}}[\\p{{L}}'’-]*(?:[^\\p{{L}}]+|$)){{{CAPITALS},}})", f"{RUN}$1{RUN}")
+    return F.array_join(F.transform(F.split(t, RUN), lambda part, i: F.when(i % 2 == 1, F.lower(part)).otherwise(part)), "")
+
+
+def template_texts(texts: DataFrame, text: str, result: str = "words") -> DataFrame:
+    """Adds the words of a text, lower-cased, without punctuation; a placeholder word starts with its type, and its value follows."""
+    plain = F.coalesce(F.col(text), F.lit(""))
+    for c in (NAME, NUMBER, UNIT, RUN):
+        plain = F.replace(plain, F.lit(c), F.lit(""))
+    df = fixed(texts, result, plain)
+    # Few texts have such runs; the others are only searched for them.
+    df = fixed(df, result, F.when(F.col(result).rlike(f"(?:\\p{{Lu}}[\\p{{L}}'’-]*[^\\p{{L}}]+){{{CAPITALS - 1}}}\\p{{Lu}}"), _evened(F.col(result))).otherwise(F.col(result)))
+    return fixed(df, result, _template_words(F.col(result)))
+
+
+def _template_words(t: Column) -> Column:
     t = F.regexp_replace(t, r"(\p{Lu}(?<=[\p{L},;] .)[\p{L}'’-]*)", f"{NAME}$1")
     t = F.regexp_replace(F.lower(t), r"([0-9]+(?:[.,:/][0-9]+)*)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"({NUMBER}[0-9.,:/]+ ?)({'|'.join(UNITS.split())})\b", f"$1{UNIT}$2")
@@ -63,7 +79,7 @@ def _slot(word: Column) -> Column:
 def windows(texts: DataFrame, id: str, text: str, size: int, whole: bool = False) -> DataFrame:
     """A row for each window: id, at (its first word, from 0), hash, values (null without placeholders), n (windows in the text). Of ``whole`` texts only those of one window."""
     n_words = F.size("words")
-    df = fixed(texts.select(F.col(id).alias("id"), F.col(text).alias("text")), "words", template_words(F.col("text"))).drop("text").where(n_words == size if whole else n_words >= size)
+    df = template_texts(texts.select(F.col(id).alias("id"), F.col(text).alias("text")), "text").drop("text").where(n_words == size if whole else n_words >= size)
     df = fixed(df, "slotted", F.exists("words", _slot))
     value = lambda w: F.when(_slot(w), w)
     template = lambda w: F.xxhash64(F.when(_slot(w), F.regexp_replace(w, f"([{PLACEHOLDERS}])[^{PLACEHOLDERS}]*", "$1")).otherwise(w))
@@ -102,7 +118,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame, params: DecontaminationPar
 
 def _held(docs: DataFrame, benchmark: DataFrame, params: DecontaminationParams) -> DataFrame:
     """The rows of held_items by the keys (id) of documents and items."""
-    lengths = benchmark.select(F.size(template_words(F.col("text"))).alias("n")).where((F.col("n") > 0) & (F.col("n") < params.window)).distinct().collect()
+    lengths = template_texts(benchmark, "text").select(F.size("words").alias("n")).where((F.col("n") > 0) & (F.col("n") < params.window)).distinct().collect()
     found = reduce(DataFrame.unionByName, [_meeting(docs, benchmark, params, size) for size in [params.window, *sorted(r["n"] for r in lengths)]])
     enough = (F.col("n_found") >= params.enough_windows) | (F.col("n_found") >= params.least_share * F.col("n_windows"))
     # Windows that lie in the document as in the item are one alignment, judged by itself.

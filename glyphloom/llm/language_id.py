@@ -4,7 +4,8 @@ A model holds, for each language, logarithms of the shares of hashed character n
 and of the scripts of its letters. A word is scored for those languages that use its
 script; a path over the words may change language at a fixed cost, which labels spans
 of mixed text. The document's language has most letters on the path; its score is the
-share of the letters it has.
+share of all letters that it has, where letters of words in a script that no learned
+language uses are nobody's: a text of nothing else has score 0.
 
 Null texts, texts without a letter and any text without a learned language are ``und``
 with score 0 and no spans. Rows are judged one by one. Other columns pass through
@@ -141,6 +142,7 @@ class _Words(dict):
         self.model, self.new = model, []
         self.scores = np.zeros((0, len(model.languages)), np.float32)
         self.letters = np.zeros(0, np.int64)
+        self.known = np.zeros(0, np.int64)  # letters of words in a script that some language uses
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(word)
@@ -161,6 +163,7 @@ class _Words(dict):
         own[(letters == 0) | ~uses.any(1)] = 0
         self.scores = np.concatenate([self.scores, own.astype(np.float32)])
         self.letters = np.concatenate([self.letters, letters])
+        self.known = np.concatenate([self.known, np.where(uses.any(1), letters, 0)])
         self.new = []
 
 
@@ -238,9 +241,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
                     for i, path in zip(group, viterbi(padded, penalty)):
                         paths[i] = path[: len(rows[i])]
                 for i, p in paths.items():
-                    if total := (own := known.letters[rows[i]]).sum():
-                        whole = not isinstance(p, np.ndarray)
-                        by = np.array([total]) if whole else np.bincount(p, own, len(languages))
+                    if total := known.letters[rows[i]].sum():
+                        whole, own = not isinstance(p, np.ndarray), known.known[rows[i]]
+                        by = np.array([own.sum()]) if whole else np.bincount(p, own, len(languages))
                         langs[start + i], score[start + i] = languages[p if whole else by.argmax()], by.max() / total
                         if spans:
                             cut = [] if whole else np.flatnonzero(np.diff(p)) + 1

@@ -32,9 +32,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import staged
+from .common import discard, staged
 from .graph import components
 
 NO_ID = 2**63 - 1
@@ -144,10 +143,13 @@ def _shown(texts: DataFrame, params: JoinParams, whole: bool) -> DataFrame:
 
 
 def _shared(shown: DataFrame, name: str) -> DataFrame:
-    """The rows of shingles that more than one set shows, with df, in how many rows they are."""
-    by = Window.partitionBy("token")
-    df = shown.withColumn("df", F.count("*").over(by)).withColumn("other", F.min("key").over(by) != F.max("key").over(by))
-    return staged(df.where("other").drop("other"), name)
+    """The rows of shingles that more than one set shows, with df, in how many rows they are. Rows are counted before they move, and joined with the counts, so no shingle needs a task of its own."""
+    shown = staged(shown, f"{name}-shown")
+    counts = shown.groupBy("token").agg(F.count("*").alias("df"), F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token", "df")
+    counts = staged(counts, f"{name}-counts")
+    out = staged(shown.join(counts, "token"), name)
+    discard(shown, counts)
+    return out
 
 
 def _least(params: JoinParams, whole: bool) -> Column:
@@ -204,7 +206,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, params: Joi
                 ok.append(100 * both >= params.percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return staged(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+    links = staged(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+    discard(pairs, held)
+    return links
 
 
 def _crowded(shared: DataFrame, costs: DataFrame, texts: DataFrame, firsts: DataFrame, links: DataFrame, params: JoinParams) -> DataFrame:
@@ -230,14 +234,14 @@ def _crowded(shared: DataFrame, costs: DataFrame, texts: DataFrame, firsts: Data
     return links.unionByName(_verified(cross, texts, firsts, params, "crowd-cross"))
 
 
-def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
-    """A row for each document: its id, n_shingles, and component_id, the smallest id that links reach (null: only null ids)."""
-    texts = _texts(docs, id, text)
+def _grouped(texts: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """Staged: id, text_id, key (null without shingles), n of each row; and root, low (the smallest id that links reach) of each key."""
     keyed = staged(_keyed(texts, params), "sets")
     firsts = staged(keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("text_id").alias("text_id")), "first-ids")
     shared = _shared(_shown(texts, params, False), "shared")
     costs = _costs(shared, params, False, "costs")
     links = _verified(_pairs(shared, costs, params, False), texts, firsts, params, "near")
+    discard(shared)
     # Sets whose prefix doesn't do show all they have.
     longer = costs.where("least <= 0").select("key")
     again = texts.join(firsts.join(longer, "key", "left_semi").select("text_id"), "text_id", "left_semi").select(*texts.columns)
@@ -249,12 +253,28 @@ def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", params:
     rooted = firsts.join(groups, firsts["key"] == groups["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     rooted = staged(rooted, "set-roots")
     smallest = staged(rooted.groupBy("root").agg(F.min("id").alias("low")), "set-lows")
-    of_key = staged(rooted.join(smallest, "root").select("key", "low"), "set-components")
+    of_key = staged(rooted.join(smallest, "root").select("key", "root", "low"), "set-components")
+    discard(firsts, shared, costs, rooted, smallest)
+    return keyed, of_key
+
+
+def link_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
+    """A row for each document: its id, n_shingles, and component_id, the smallest id that links reach (null: only null ids)."""
+    keyed, of_key = _grouped(_texts(docs, id, text), params)
     out = keyed.join(of_key, "key", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
     return out.select(*[F.when(F.col(c) != NO_ID, F.col(c)).alias(c) if c != "n_shingles" else F.col(c) for c in out.columns])
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", params: JoinParams = JoinParams()) -> DataFrame:
-    """The documents without those that link to one with a smaller id. A document without an id stays if nothing with an id reaches it."""
-    gone = staged(link_groups(docs, id, text, params).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs[id] == gone["_gone"], "left_anti")
+    """One document of each group, that with the smallest id (null is larger than any), then hash of the text; of rows equal in both any one. Documents without shingles stay."""
+    keyed, of_key = _grouped(_texts(docs, id, text), params)
+    rows = keyed.join(of_key, "key").select("id", "text_id", "root")
+    first = staged(rows.groupBy("root").agg(F.min(F.struct("id", "text_id")).alias("keep")), "near-firsts")
+    counted = rows.groupBy("id", "text_id", "root").agg(F.count("*").alias("n"))
+    marked = staged(counted.join(first, "root").select("id", "text_id", "n", (F.struct("id", "text_id") == F.col("keep")).alias("stays")).where("n > 1 or not stays"), "near-marks")
+    own = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text).cast("binary")).alias("text_id"))
+    found = own.join(marked, ["id", "text_id"], "left")
+    kept = found.where("n is null").select("_row.*")
+    # Repeated rows are few: only they are moved.
+    twice = found.where("stays").dropDuplicates(["id", "text_id"]).select("_row.*")
+    return kept.unionByName(twice)

@@ -280,11 +280,11 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, text: str = "text", model: str | None = None, keep_ids: bool = True, result: str = "pieces") -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str | None = None, keep_ids: bool = True, result: str = "pieces", strict: bool = True) -> DataFrame:
     """Adds a struct: n_tokens, ids (if asked for), ids_sha256, decoded_sha256 and agrees.
 
     ``agrees`` says that the library encodes the text to the same ids and decodes them to
-    the same text; every Arrow batch is checked whole.
+    the same text; every Arrow batch is checked whole. ``strict``: the task fails where it does not.
     """
     path = model or default_model()
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean" + ", ids array<int>" * keep_ids
@@ -300,6 +300,8 @@ def encode(docs: DataFrame, text: str = "text", model: str | None = None, keep_i
                     ids = ids.tolist()
                     decoded = p.decode(ids)
                     agrees = p.library.encode(t) == ids and p.library.decode(ids) == decoded
+                    if strict and not agrees:
+                        raise ValueError(f"other ids or another text than the library's, for a text that begins with {t[:80]!r}")
                     rows.append((len(ids), hashlib.sha256(digits.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), agrees, *([ids] if keep_ids else [])))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "agrees"] + ["ids"] * keep_ids)
 

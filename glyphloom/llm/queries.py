@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, language_id, line_dedup, ngram_join, pieces, quality, sharding, training_order, wordpiece
-from .common import table
+from .common import shared_dir, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.training_order(table(spark, sf_dir, "documents"))
+    return training_order.materialise(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Token ids in training order, as records of a fixed stride.
 
 Each document's ids, ended by one end id, are cut into sequences of ``length`` ids, the
-last padded. Sequences are numbered in the order of the input; a keyed Feistel
-permutation with cycle walking gives each number its own slot in 0..N-1. Slots go to
-shards of equal numbers of records, each one task, sorted: record r of shard s is slot
-s * per_shard + r, at byte r * stride. The slot of a sequence needs only its number,
-N and the key, so a reader resumes from a slot alone.
-
-Null and empty texts have the end id as their one sequence. Repeated rows are sequences
-of their own. An empty table gives no records. Columns of the input other than id and
-text are not returned.
+last padded. Sequences are numbered in an order of their documents that depends on ids and
+texts alone (by bucket, a hash of both; in a bucket by id, then hash of the text), not on
+files or tasks; a keyed Feistel permutation with cycle walking gives each number its own
+slot in 0..N-1. Slots go to shards of equal numbers of records, each one task, sorted:
+record r of shard s is slot s * per_shard + r, at byte r * stride of the shard's file.
+:func:`records_from` reads on from any slot: a stopped run goes on with the same records.
+
+Null and empty texts have the end id as their one sequence. A null id is less than any
+other. Repeated rows are sequences of their own; equal rows are in one bucket, in any order.
+An empty table gives no records and no files. Columns of the input other than id and text
+are not returned.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,9 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 from .pieces import default_model, pieces
 
+#: Documents are dealt into so many buckets, and the driver sees the number of sequences of each.
+BUCKETS = 4096
+
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
     x = x + np.uint64(key)
@@ -53,88 +59,174 @@ def permute(numbers: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarra
 
 
 def sequences(docs: DataFrame, length: int, id: str, text: str, model: str, end_id: int) -> DataFrame:
-    """A row for each document: its ids and end id packed, its number of sequences, and the number of those before it in its partition."""
+    """A row for each document: id, text_key, bucket, its ids and end id packed, and n_seq, its number of sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        end, part, before = np.array([end_id], "<u2").tobytes(), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(3)
             for at in range(0, batch.num_rows, 512):
                 packed = [p.ids_of(r).astype("<u2").tobytes() + end for r in p.rows(texts.slice(at, 512).to_pylist())]
                 counts = np.array([-(-len(b) // (2 * length)) for b in packed], np.int64)
-                starts = before + np.cumsum(counts) - counts
-                before += int(counts.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array([part] * len(packed), pa.int32()), pa.array(starts), pa.array(counts), pa.array(packed, pa.binary())], ["id", "part", "start", "n_seq", "packed"])
-
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, part int, start long, n_seq long, packed binary")
-
-
-def training_order(docs: DataFrame, length: int = 256, per_shard: int = 65536, key: int = 20240229, id: str = "doc_id", text: str = "text", model: str | None = None, end_id: int = 2, pad_id: int = 0) -> DataFrame:
-    """A row for each sequence: slot, shard, record, byte_offset, the document's id, seq_no, n_ids, ids_crc32 and the record itself."""
-    spark, path = docs.sparkSession, model or default_model()
-    if pieces(path).library.get_piece_size() > 65536:
-        raise ValueError("ids of more than 16 bits")
-    rows = staged(sequences(docs, length, id, text, path, end_id), "sequences")
-    parts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n_seq").alias("n")).collect())  # a row for each input partition
-    offsets, total = [], 0
-    for part, n in parts:
-        offsets.append((part, total))
-        total += n
-    offsets = F.broadcast(spark.createDataFrame(offsets, "part int, before long"))
-    stride = 2 * length
-    pad = np.array([pad_id], "<u2").tobytes()
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, 512) for k in range(3)), pa.array(counts), pa.array(packed, pa.binary())], ["id", "text_key", "bucket", "n_seq", "packed"])
+
+    own = F.col(id).cast("long").alias("id")
+    rows = docs.select(own, F.xxhash64(text).alias("text_key"), F.pmod(F.xxhash64(own, text), F.lit(BUCKETS)).cast("int").alias("bucket"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "id long, text_key long, bucket int, n_seq long, packed binary")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """id, bucket, n_seq, packed, and start: the number of sequences before the document in its bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, before = -1, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                ids, firsts, packed = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-                cut = [(i, f + k, k, x[k * stride : (k + 1) * stride]) for i, f, x in zip(ids, firsts, packed) for k in range(-(-len(x) // stride))]
-                slots = permute(np.array([c[1] for c in cut], np.int64), total, key)
-                filled = [c[3] + pad * ((stride - len(c[3])) // 2) for c in cut]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), pa.array([c[0] for c in cut], pa.int64()), pa.array([c[2] for c in cut], pa.int32()), pa.array([len(c[3]) // 2 for c in cut], pa.int32()), pa.array([zlib.crc32(x) for x in filled], pa.int64()), pa.array(filled, pa.binary())],
-                    ["slot", "id", "seq_no", "n_ids", "ids_crc32", "ids"],
-                )
-
-    numbered = rows.join(offsets, "part").select("id", (F.col("start") + F.col("before")).alias("first"), "packed")
-    records = numbered.mapInArrow(run, "slot long, id long, seq_no int, n_ids int, ids_crc32 long, ids binary")
-    shard = F.floor(F.col("slot") / per_shard).cast("int")
-    shards = max(1, -(-total // per_shard))
-    placed = records.repartitionById(shards, shard).sortWithinPartitions("slot")
-    record = F.col("slot") - shard.cast("long") * per_shard
-    return placed.select("slot", shard.alias("shard"), record.cast("int").alias("record"), (record * stride).alias("byte_offset"), F.col("id").alias(id), "seq_no", "n_ids", "ids_crc32", "ids")
-
-
-def write_shards(ordered: DataFrame, path: str) -> DataFrame:
-    """Writes each shard as one file of records of a fixed stride; a row for each: shard, file, records.
-
-    ``path`` is a folder that the executors can write, or a URI that pyarrow can. A file gets its
+            buckets, counts = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            starts = np.empty(len(counts), np.int64)
+            for i in range(len(counts)):
+                if buckets[i] != bucket:
+                    bucket, before = buckets[i], 0
+                starts[i] = before
+                before += counts[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(starts)], ["id", "bucket", "n_seq", "packed", "start"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "id", "text_key").mapInArrow(run, "id long, bucket int, n_seq long, packed binary, start long")
+
+
+class Order:
+    """The sequences of a table in training order: ``rows`` (staged), how many there are, and where they go."""
+
+    def __init__(self, docs: DataFrame, length: int = 256, per_shard: int = 65536, key: int = 20240229, id: str = "doc_id", text: str = "text", model: str | None = None, end_id: int = 2, pad_id: int = 0):
+        path = model or default_model()
+        if pieces(path).library.get_piece_size() > 65536:
+            raise ValueError("ids of more than 16 bits")
+        self.length, self.per_shard, self.key, self.id, self.pad_id = length, per_shard, key, id, pad_id
+        self.rows = staged(_numbered(sequences(docs, length, id, text, path, end_id)), "sequences")
+        counts = np.zeros(BUCKETS, np.int64)
+        for r in self.rows.groupBy("bucket").agg(F.sum("n_seq").alias("n")).collect():  # a row for each bucket
+            counts[r["bucket"]] = r["n"]
+        self.before, self.total = np.cumsum(counts) - counts, int(counts.sum())
+        self.shards = -(-self.total // per_shard)
+
+    @property
+    def stride(self) -> int:
+        return 2 * self.length
+
+    def records(self, first_shard: int = 0, last_shard: int | None = None) -> DataFrame:
+        """A row for each sequence of some shards, each shard in one task and in order: slot, shard, record, byte_offset, the document's id, seq_no, n_ids, ids_crc32 and the record itself."""
+        stride, before, total, key, per_shard = self.stride, self.before, self.total, self.key, self.per_shard
+        pad = np.array([self.pad_id], "<u2").tobytes()
+        low, high = first_shard * per_shard, (self.shards if last_shard is None else last_shard + 1) * per_shard
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    b = batch.slice(at, 256)
+                    counts = b.column(2).to_numpy()
+                    firsts = before[b.column(1).to_numpy()] + b.column(4).to_numpy()
+                    of = np.repeat(np.arange(len(counts)), counts)
+                    seq = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    slots = permute(firsts[of] + seq, total, key)
+                    take = np.flatnonzero((slots >= low) & (slots < high))
+                    ids, packed = b.column(0).to_pylist(), b.column(3)
+                    whole, last = None, -1
+                    cut = []
+                    for j in take:
+                        if of[j] != last:
+                            last, whole = of[j], packed[int(of[j])].as_py()
+                        cut.append(whole[seq[j] * stride : (seq[j] + 1) * stride])
+                    filled = [c + pad * ((stride - len(c)) // 2) for c in cut]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(slots[take]), pa.array([ids[of[j]] for j in take], pa.int64()), pa.array(seq[take].astype(np.int32)), pa.array([len(c) // 2 for c in cut], pa.int32()), pa.array([zlib.crc32(x) for x in filled], pa.int64()), pa.array(filled, pa.binary())],
+                        ["slot", "id", "seq_no", "n_ids", "ids_crc32", "ids"],
+                    )
+
+        found = self.rows.select("id", "bucket", "n_seq", "packed", "start").mapInArrow(run, "slot long, id long, seq_no int, n_ids int, ids_crc32 long, ids binary")
+        shard = F.floor(F.col("slot") / per_shard).cast("int")
+        placed = found.repartitionById(max(1, -(-(min(high, total) - low) // per_shard)), shard - first_shard).sortWithinPartitions("slot")
+        record = F.col("slot") - shard.cast("long") * per_shard
+        return placed.select("slot", shard.alias("shard"), record.cast("int").alias("record"), (record * self.stride).alias("byte_offset"), F.col("id").alias(self.id), "seq_no", "n_ids", "ids_crc32", "ids")
+
+
+def training_order(docs: DataFrame, **kw) -> DataFrame:
+    """All records; see :class:`Order` for the settings."""
+    return Order(docs, **kw).records()
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _file(top: str, shard: int) -> str:
+    return f"{top}/shard-{shard:06d}.bin"
+
+
+def write_shards(records: DataFrame, path: str) -> DataFrame:
+    """Writes each shard as one file of records of a fixed stride; gives the records without their ids.
+
+    ``path`` is a folder that all executors can write, or a URI that pyarrow can. A file gets its
     name only when whole, so a task that runs again replaces it and a lost executor leaves none in part.
     """
+    kept = [c for c in records.columns if c != "ids"]
+    at, of = records.columns.index("ids"), records.columns.index("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, top = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store, top = _store(path)
         store.create_dir(top, recursive=True)
-        shard, records, out = None, 0, None
-        context = TaskContext.get()
+        out = name = part = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
-                shard = batch.column(0)[0].as_py()
-                name = f"{top}/shard-{shard:06d}.bin"
-                part = f"{name}.{context.taskAttemptId()}"
+                name = _file(top, batch.column(of)[0].as_py())
+                part = f"{name}.{TaskContext.get().taskAttemptId()}"
                 out = store.open_output_stream(part)
-            for x in batch.column(1):
-                out.write(x.as_py())
-            records += batch.num_rows
+            ids = batch.column(at)
+            out.write(b"".join(ids.to_pylist()))
+            yield batch.select(kept)
         if out is not None:
             out.close()
             store.move(part, name)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([records], pa.int64())], ["shard", "file", "records"])
 
-    return ordered.select("shard", "ids").mapInArrow(run, "shard int, file string, records long")
+    return records.mapInArrow(run, records.drop("ids").schema)
+
+
+def materialise(docs: DataFrame, path: str, passes: int = 2, **kw) -> DataFrame:
+    """Writes all shards and what :func:`records_from` needs under ``path``; gives an index: the records without their ids.
+
+    Each pass moves the records of its share of the shards, so that no more of them lie on disk twice at a time.
+    """
+    order = Order(docs, **kw)
+    indexes = []
+    step = max(1, -(-order.shards // passes))
+    for first in range(0, max(order.shards, 1), step):
+        last = min(order.shards, first + step) - 1
+        indexes.append(staged(write_shards(order.records(first, last), path), "order-index"))
+    store, top = _store(path)
+    store.create_dir(top, recursive=True)
+    with store.open_output_stream(f"{top}/order.json") as out:
+        out.write(json.dumps({"sequences": order.total, "per_shard": order.per_shard, "stride": order.stride, "pad_id": order.pad_id}).encode())
+    discard(order.rows)
+    index = indexes[0]
+    for more in indexes[1:]:
+        index = index.unionByName(more)
+    return index
+
+
+def records_from(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids with padding) of a written order from a slot on, read in order."""
+    store, top = _store(path)
+    with store.open_input_stream(f"{top}/order.json") as f:
+        about = json.loads(f.read())
+    while slot < about["sequences"]:
+        shard, record = divmod(slot, about["per_shard"])
+        with store.open_input_file(_file(top, shard)) as f:
+            f.seek(record * about["stride"])
+            while len(x := f.read(about["stride"])) == about["stride"]:
+                yield slot, np.frombuffer(x, "<u2")
+                slot += 1
+        if record == slot - shard * about["per_shard"]:
+            raise ValueError(f"{_file(top, shard)} ends before slot {slot}")

@@ -68,7 +68,12 @@ def test_join_nulls_and_none(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other")], "doc_id long, text string")
     got = sorted((repr(x.doc_id), repr(x.component_id)) for x in ngram_join.link_groups(docs).collect())
     assert got == [("4", "4"), ("4", "4"), ("None", "4"), ("None", "None")]
-    assert ngram_join.keep_first(docs).count() == 4
+    # One row of each group stays.
+    kept = ngram_join.keep_first(docs.withColumn("n", F.lit(1)).withColumn("key", F.lit(2)))
+    assert kept.columns == ["doc_id", "text", "n", "key"]
+    assert sorted((repr(x.doc_id), x.text) for x in kept.collect()) == [("4", "a b c d e f"), ("None", "other")]
+    empty = spark.createDataFrame([(1, ""), (1, ""), (None, None)], "doc_id long, text string")
+    assert ngram_join.keep_first(empty).count() == 3 and ngram_join.keep_first(empty.where("false")).count() == 0
     assert ngram_join.link_groups(docs.where("false")).count() == 0
 
 
@@ -256,6 +261,17 @@ def test_rows_of_one_id_are_judged_each(spark):
         assert kept == ["four five six", "one two three", "seven eight nine", "ten eleven twelve"]
 
 
+def test_case_of_copies(spark):
+    items = [ITEM, "A train leaves Boston at 9 am and drives 60 km an hour, when does it get to Chicago that is 300 km away?"]
+    docs = []
+    for i, x in enumerate(items):
+        title = " ".join(w[:1].upper() + w[1:] for w in x.split())
+        docs += [(10 * i + k, "Some words before. " + t + " And some after it.") for k, t in enumerate([x, x.upper(), title, x.lower()])]
+    docs.append((99, "Here Are Many Words In Title Case That Are In No Item Of The Benchmark At All, Though They Go On"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.held_items(d, b).collect()} == {(10 * i + k, i) for i in range(2) for k in range(4)}
+
+
 def plain_windows(text, size=8):
     words = re.sub(r"[^\w\s]|_", "", text.lower()).split()
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}

@@ -12,7 +12,7 @@ def test_quality_base(spark):
     r = random.Random(3)
     texts = [None, "", " \n ", "a b a b a b", "x\nx\n\n x\nx", "#a $ b | <c>", "the cat\x0bsat " * 30] + [" ".join(r.choice("abcd") for _ in range(r.randrange(1, 90))) for _ in range(60)] + ["w" + " v" * 40_000]
     df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, kept boolean")
-    for x in quality.judge(df).collect():
+    for x in quality.judge(df, {}).collect():
         t = texts[x.doc_id] or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -22,16 +22,33 @@ def test_quality_base(spark):
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == (len(w), sum(map(len, w)), sum(t.count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), len(held))
         assert x.base_failed == (len(w) < 50 or 100 * len(held) > 50 * len(w))
         assert not (x.base_failed and x.kept)
-    assert quality.judge(df.where("false")).count() == 0
+    assert quality.judge(df.where("false"), {}).count() == 0
 
 
 def test_quality_verdict(spark):
-    plain = "The history of the town is long, and in it a river was the way to trade for all that lived with their boats. "
-    clean = " ".join(plain.replace("town", f"town{chr(97 + i)}").replace("river", f"stream{chr(97 + i)}") for i in range(6))
-    junk = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}###$$$%%%" for i in range(200))
-    rows = quality.judge(spark.createDataFrame([(1, clean), (2, junk)], "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.base_failed, r.kept) for r in rows}[2] == (False, False)
-    assert {r.doc_id: r.char_distance < 0.2 for r in rows}[1]
+    r = random.Random(5)
+    rare = {k: [f"{a}{b}{c}" for a in starts for b in "aeiou" for c in ("lm", "nd", "rt", "st")] for k, starts in (("en", "bdfgh"), ("fr", "jklmn"))}
+    small = {"en": "the of and to in a is that it was".split(), "fr": "de la le et les des en un du une".split()}
+
+    def text(lang, n):
+        return " ".join(r.choice(small[lang]) if r.random() < 0.4 else r.choice(rare[lang]) for _ in range(n)) + "."
+
+    rows = [(i, text(lang, r.randrange(60, 400)), lang) for i, lang in enumerate(["en", "fr"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = quality.fit(docs)
+    assert sorted(learned) == ["en", "fr"] and set(list(learned["en"].words)[:10]) == set(small["en"]) and learned["en"].words != learned["fr"].words
+    gibberish = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200))
+    keywords = " | ".join("".join(r.choice("aeioumnrst") for _ in range(6)) for _ in range(200))
+    symbols = " ".join(w + r.choice(["###", "$$$", "%%%"]) for w in text("en", 200).split())
+    odd = spark.createDataFrame([(1, gibberish), (2, keywords), (3, symbols), (4, text("en", 200)), (5, text("fr", 60)), (5, text("fr", 60)), (6, "x" * 200_000 + (" " + text("en", 300)) * 1)], "doc_id long, text string")
+    found = {x.doc_id: x for x in quality.judge(odd, learned).collect()}
+    assert not any(found[i].base_failed for i in (1, 2, 3)) and [found[i].kept for i in range(1, 6)] == [False, False, False, True, True]
+    # Either histogram rejects by itself.
+    few = quality.QualityParams(max_char_distance=9.0)
+    assert [x.kept for x in quality.judge(odd.where("doc_id = 1"), learned, params=few).collect()] == [False]
+    few = quality.QualityParams(max_word_distance=9.0)
+    assert [x.kept for x in quality.judge(odd.where("doc_id = 3"), learned, params=few).collect()] == [False]
+    assert quality.fit(docs.where("false")) == {} and quality.fit(docs.withColumn("lang", F.lit(None).cast("string"))) == {}
 
 
 @pytest.mark.parametrize(
@@ -139,6 +156,11 @@ def test_languages(spark):
     mixed = spark.createDataFrame([(1, en * 3 + de * 3)], "doc_id long, text string")
     spans = language_id.identify(mixed, model).first().language.spans
     assert [s.lang for s in spans] == ["en", "de"] and spans[0].first == 0 and spans[1].last == len((en * 3 + de * 3).split()) - 1
+    # A script that no learned language uses says nothing; ties go to the first language.
+    odd = spark.createDataFrame([(1, "שלום עולם"), (2, "สวัสดีชาวโลก"), (3, en + "שלום עולם"), (4, en), (4, en), (5, en * 30_000)], "doc_id long, text string")
+    of = {r.doc_id: r.language for r in language_id.identify(odd, model).collect()}
+    assert [(of[i].lang, of[i].score) for i in (1, 2)] == [("de", 0.0)] * 2
+    assert of[3].lang == of[4].lang == of[5].lang == "en" and 0.7 < of[3].score < 0.95 and of[5].score == 1.0
     none = language_id.fit(docs.where("false"))
     assert {r.language.lang for r in language_id.identify(docs, none).collect()} == {"und"}
     assert language_id.identify(docs.where("false"), model).count() == 0

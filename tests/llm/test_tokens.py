@@ -73,17 +73,32 @@ def test_permutation(n):
 
 def test_training_order_round_trip(spark, tmp_path):
     df = docs(spark, [t for t in ODD] + ["word " * 300]).withColumn("slot", F.lit(0))
-    ordered = training_order.training_order(df, length=16, per_shard=8)
-    rows = ordered.collect()
+    rows = training_order.training_order(df, length=16, per_shard=8).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert all(r.shard * 8 + r.record == r.slot and r.byte_offset == r.record * 32 and len(r.ids) == 32 for r in rows)
     p = pieces.pieces(MODEL)
     for i, t in enumerate(ODD):
         own = sorted((r.seq_no, np.frombuffer(bytes(r.ids), "<u2")[: r.n_ids].tolist()) for r in rows if r.doc_id == i)
         assert [x for _, ids in own for x in ids] == p.library.encode(t or "") + [2]
-    files = training_order.write_shards(ordered, f"{tmp_path}/shards").collect()
     by = {r.slot: bytes(r.ids) for r in rows}
-    for f in files:
-        raw = open(f.file, "rb").read()
-        assert raw == b"".join(by[f.shard * 8 + k] for k in range(f.records))
+    for passes in (1, 3):
+        path = f"{tmp_path}/shards-{passes}"
+        index = training_order.materialise(df, path, passes, length=16, per_shard=8).collect()
+        assert sorted((r.slot, r.shard, r.record, r.doc_id, r.seq_no, r.n_ids, r.ids_crc32) for r in index) == sorted((r.slot, r.shard, r.record, r.doc_id, r.seq_no, r.n_ids, r.ids_crc32) for r in rows)
+        # Resumed from any slot, the same records follow.
+        for slot in (0, 7, 8, len(rows) - 1, len(rows)):
+            assert [(k, x.tobytes()) for k, x in training_order.records_from(path, slot)] == [(k, by[k]) for k in range(slot, len(rows))]
     assert training_order.training_order(docs(spark, []), length=16).count() == 0
+    assert training_order.materialise(docs(spark, []), f"{tmp_path}/none").count() == 0
+    assert list(training_order.records_from(f"{tmp_path}/none")) == []
+
+
+def test_order_does_not_depend_on_splits(spark):
+    rows = [(i if i % 7 else None, f"text {i} " * (i % 5)) for i in range(200)] + [(3, "other text of one id"), (3, "other text of one id")]
+    found = set()
+    for parts, seed in ((1, 1), (7, 2), (40, 3)):
+        mixed = list(rows)
+        random.Random(seed).shuffle(mixed)
+        df = spark.createDataFrame(mixed, "doc_id long, text string").repartition(parts)
+        found.add(tuple(sorted((r.slot, repr(r.doc_id), r.seq_no, r.ids_crc32) for r in training_order.training_order(df, length=8, per_shard=64).collect())))
+    assert len(found) == 1
