@@ -164,7 +164,7 @@ def guess_numbers(scored: DataFrame, drawn: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
-        at = np.searchsorted(-logs, -x.to_numpy(float), side="left")
+        at = np.searchsorted(-logs, -x.to_numpy(float) - 1e-9, side="left")  # equal chances differ by rounding
         found = np.where(at > 0, ranks[np.maximum(at - 1, 0)] if len(ranks) else 1.0, 1.0)
         return pd.Series(np.where(np.isnan(x.to_numpy(float)), np.nan, np.log10(np.maximum(found, 1.0))))
 
