@@ -93,20 +93,26 @@ def normal(line):
     return re.sub(r"[ \t\x0b\x0c\r]+", " ", line).strip(" ")
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
+def within(a, b, most):
+    """Whether the edit distance is at most so much: a band of the table, as far as it can still hold."""
+    last = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+        row = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            least = min(last.get(j, most) + 1, row.get(j - 1, most) + 1, last[j - 1] + (x != b[j - 1]) if j and j - 1 in last else most + 1)
+            if least <= most:
+                row[j] = least
+        if not row:
+            return False
+        last = row
+    return last.get(len(b), most + 1) <= most
 
 
 def alike(x, y):
     most = int(0.1 * max(len(x), len(y)) + 1e-9)
     if abs(len(x) - len(y)) > most or sum(((Counter(x) - Counter(y)) + (Counter(y) - Counter(x))).values()) > 2 * most:
         return False
-    return edits(x, y) <= most
+    return within(x, y, most)
 
 
 def brute_lines(docs):
