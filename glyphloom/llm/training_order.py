@@ -194,7 +194,7 @@ def write_shards(records: DataFrame, path: str) -> DataFrame:
     return records.mapInArrow(run, records.drop("ids").schema)
 
 
-def materialise(docs: DataFrame, path: str, passes: int = 2, **kw) -> DataFrame:
+def materialise(docs: DataFrame, path: str, passes: int = 3, **kw) -> DataFrame:
     """Writes all shards and what :func:`records_from` needs under ``path``; gives an index: the records without their ids.
 
     Each pass moves the records of its share of the shards, so that no more of them lie on disk twice at a time.

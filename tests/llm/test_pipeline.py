@@ -41,3 +41,14 @@ def test_quality_oracle(spark):
         at = [rel.columns.index(x) for x in sorted(rel.columns)]
         assert sorted(df.columns) == sorted(rel.columns)
         assert sorted(repr(tuple(r[x] for x in sorted(df.columns))) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
+
+
+def test_quality_learned_from_some_rows(spark):
+    from glyphloom.llm import quality
+
+    params = quality.QualityParams(most_rows=60)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, quality.fit(docs, params=params), params=params).collect()}
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    assert kept == {r[0]: r[-1] for r in c.sql(quality.sql(params=params)).fetchall()}
