@@ -3,7 +3,7 @@
 A document's histogram of character classes and its histogram of common words are
 compared with those of each language by Jensen-Shannon distance (base 2); the closest
 language counts, for each histogram by itself. The languages' histograms are learned
-(:func:`fit`) from rows with a language. A histogram of few words is far from any other by
+(:func:`fit`) from all rows with a language and a text. A histogram of few words is far from any other by
 chance, in proportion to one over the root of their number, so the limits grow in that
 way, and below a least length a distance rejects nothing.
 
@@ -23,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, fixed, words_of
+from .common import NOT_SPACE, discard, fixed, staged, words_of
+
+#: The DuckDB text learns from about so many rows; up to this number that is all of them, and the text and the operator agree.
+SQL_ROWS = 20_000
 
 # Classes of characters as patterns; white space is a class too, and letters and the like are the rest.
 CHAR_CLASSES = {"digit": "[0-9]+", "stop": "[.,;:!?'\"()-]+", "symbol": "[#*$%&|<>]+"}
@@ -39,8 +42,8 @@ class QualityParams:
     by_root_of_words: float = 1.0
     min_chars_for_chars: int = 200
     min_words_for_words: int = 50
-    #: About so many rows are learned from at most: those with the smallest MD5 of their id, taken by a limit that their number sets.
-    most_rows: int = 20_000
+    #: None: every row with a language and a text is learned from. A number asks for about so many rows only, those with the smallest MD5 of their id.
+    most_rows: int | None = None
     #: Words in a language's histogram.
     common_words: int = 12
 
@@ -60,20 +63,26 @@ def _class_counts(text: Column) -> dict[str, Column]:
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", params: QualityParams = QualityParams()) -> dict[str, Reference]:
     """The histograms of each language. What reaches the driver is a few numbers for each of them."""
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    limit = f"{int(min(1.0, params.most_rows / max(labelled.count(), 1)) * 0xFFFFFFFF):08x}"
-    few = labelled.where(F.coalesce(F.left(F.md5(F.col(id).cast("string").cast("binary")), F.lit(8)) <= limit, F.lit(limit == "ffffffff")))
-    rows = fixed(few.select(F.col(lang).alias("lang"), F.col(text).alias("t")), "words", words_of(F.col("t")))
-    counts = rows.select("lang", F.length("t").alias("len"), F.length(F.array_join("words", "")).alias("word_chars"), F.size("words").alias("n"), *[c.alias(k) for k, c in _class_counts(F.col("t")).items()])
-    sums = counts.groupBy("lang").agg(*[F.sum(c).cast("double").alias(c) for c in counts.columns[1:]]).collect()
-    words = rows.select("lang", F.explode("words").alias("w")).select("lang", F.lower("w").alias("w")).where(F.col("w").rlike(r"\p{L}"))
+    if params.most_rows is not None:
+        limit = f"{int(min(1.0, params.most_rows / max(labelled.count(), 1)) * 0xFFFFFFFF):08x}"
+        labelled = labelled.where(F.coalesce(F.left(F.md5(F.col(id).cast("string").cast("binary")), F.lit(8)) <= limit, F.lit(limit == "ffffffff")))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("t"))
+    lengths = rows.groupBy("lang").agg(F.sum(F.length("t")).alias("len")).collect()
+    # No class holds white space, and none changes with case: what words hold is counted once for each distinct word.
+    words = rows.select("lang", F.explode(words_of(F.col("t"))).alias("w")).groupBy("lang", F.lower("w").alias("w")).agg(F.count("*").alias("c"), F.sum(F.length("w")).alias("chars"))
+    words = staged(words, "quality-words")
+    sums = words.groupBy("lang").agg(F.sum("c").alias("n"), F.sum("chars").alias("word_chars"), *[F.sum(n * F.col("c")).alias(k) for k, n in _class_counts(F.col("w")).items()])
+    held = {r["lang"]: r for r in sums.collect()}
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w"))
-    top = words.groupBy("lang", "w").agg(F.count("*").alias("c")).withColumn("r", first).where(F.col("r") <= params.common_words).collect()
+    top = words.where(F.col("w").rlike(r"\p{L}")).withColumn("r", first).where(F.col("r") <= params.common_words).collect()
+    discard(words)
     out = {}
-    for r in sorted(sums, key=lambda r: r["lang"]):
-        own = sorted((x["r"], x["w"], x["c"]) for x in top if x["lang"] == r["lang"])
-        if own and r["len"]:
-            chars = [r[f"_c_{name}"] for name in CHAR_CLASSES] + [r["len"] - r["word_chars"]]
-            out[r["lang"]] = Reference({w: c / r["n"] for _, w, c in own}, tuple(x / r["len"] for x in [*chars, r["len"] - sum(chars)]))
+    for language, length in sorted((r["lang"], r["len"]) for r in lengths):
+        own = sorted((x["r"], x["w"], x["c"]) for x in top if x["lang"] == language)
+        if own:
+            r = held[language]
+            chars = [r[f"_c_{name}"] for name in CHAR_CLASSES] + [length - r["word_chars"]]
+            out[language] = Reference({w: c / r["n"] for _, w, c in own}, tuple(x / length for x in [*chars, length - sum(chars)]))
     return out
 
 
@@ -112,7 +121,7 @@ def judge(docs: DataFrame, references: dict[str, Reference], text: str = "text",
     for name, count in _class_counts(t).items():
         df = df.withColumn(name, count)
     df = df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long")).withColumn("n_symbols", F.col("_c_symbol"))
-    df = df.withColumn("_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE)))
+    df = fixed(df, "_lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_SPACE)))
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     # Histograms.
     seen = [F.col(f"_c_{name}") for name in CHAR_CLASSES] + [F.col("_length") - F.col("word_chars")]
@@ -145,7 +154,7 @@ def _closest(distances: list[Column]) -> Column:
 
 
 def sql(table: str = "documents", params: QualityParams = QualityParams()) -> str:
-    """The same rules as DuckDB SQL over doc_id, text and lang; doc_id must be unique."""
+    """The same rules as DuckDB SQL over doc_id, text and lang; doc_id must be unique. With more than SQL_ROWS rows to learn from this text takes only so many, the operator all."""
     words = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
     lines = r"list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))"
     classes = ", ".join(f"length(t) - length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g')) AS c_{name}" for name, p in CHAR_CLASSES.items())
@@ -156,7 +165,7 @@ def sql(table: str = "documents", params: QualityParams = QualityParams()) -> st
         a AS (SELECT doc_id, lang, given, {words} AS w, len({words}) AS n_words, length(array_to_string({words}, '')) AS word_chars, {lines} AS l, length(t) AS n_chars, {classes} FROM d),
         tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, y, z) AS c FROM (SELECT doc_id, i, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT doc_id, w, unnest(range(1, n_words - 1)) AS i FROM a))),
         rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM tri WHERE c > 1) GROUP BY 1),
-        few AS (SELECT * FROM a WHERE lang IS NOT NULL AND given AND left(md5(doc_id::VARCHAR), 8) <= (SELECT format('{{:08x}}', CAST(floor(least(1.0::DOUBLE, {params.most_rows}::DOUBLE / greatest(count(*), 1)) * 4294967295) AS BIGINT)) FROM a WHERE lang IS NOT NULL AND given)),
+        few AS (SELECT * FROM a WHERE lang IS NOT NULL AND given AND left(md5(doc_id::VARCHAR), 8) <= (SELECT format('{{:08x}}', CAST(floor(least(1.0::DOUBLE, {params.most_rows or SQL_ROWS}::DOUBLE / greatest(count(*), 1)) * 4294967295) AS BIGINT)) FROM a WHERE lang IS NOT NULL AND given)),
         sums AS (SELECT lang, sum(n_words)::DOUBLE AS n, sum(n_chars)::DOUBLE AS len, [{', '.join(f'sum({c})::DOUBLE' for c in counts)}] AS cs FROM few GROUP BY 1),
         fw AS (SELECT lang, x, count(*) AS c FROM (SELECT lang, lower(unnest(w)) AS x FROM few) WHERE regexp_matches(x, '\\p{{L}}') GROUP BY 1, 2),
         top AS (SELECT lang, x, c / n AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, x) AS r FROM fw) JOIN sums USING (lang) WHERE r <= {params.common_words} AND len > 0),

@@ -51,6 +51,12 @@ def test_quality_verdict(spark):
     assert quality.fit(docs.where("false")) == {} and quality.fit(docs.withColumn("lang", F.lit(None).cast("string"))) == {}
 
 
+def test_quality_learns_from_every_row(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "The even").otherwise("the odd1").alias("text"), F.lit("en").alias("lang"))
+    learned = quality.fit(rows.unionByName(rows.withColumn("doc_id", F.lit(None).cast("long"))))["en"]
+    assert learned.words == {"the": 0.5, "even": 0.25, "odd1": 0.25} and learned.chars == (0.0625, 0.0, 0.0, 0.125, 0.8125)
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
