@@ -52,3 +52,13 @@ def test_quality_learned_from_some_rows(spark):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
     assert kept == {r[0]: r[-1] for r in c.sql(quality.sql(params=params)).fetchall()}
+
+
+def test_quality_stage_learns_from_every_row(spark, monkeypatch):
+    from glyphloom.llm import quality
+
+    seen, judge = [], quality.judge
+    monkeypatch.setattr(quality, "judge", lambda docs, references, *more: seen.append(references) or judge(docs, references, *more))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the even").otherwise("the odd").alias("text"), F.lit("en").alias("lang"))
+    assert corpus_pipeline.quality_rules(spark, docs, DATA).columns == docs.columns
+    assert seen[0]["en"].words == {"the": 0.5, "even": 0.25, "odd": 0.25}
