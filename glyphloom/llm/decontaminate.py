@@ -34,6 +34,9 @@ RUN, CAPITALS = "\ue004", 5
 UNITS = "mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec min h hr hrs hz khz mhz ghz w kw mw kwh v a j kj k c f pa kpa mpa bar mph kph percent dollars euros pounds cents usd eur gbp"
 #: Joins the values of a window.
 COMMA = "\x01"
+#: A capitalised word, up to a mark inside it that a capital follows. Its repeats and those of numbers give nothing back
+#: (possessive): the engine of patterns calls itself for each repeat that could, and a long run would overflow the stack.
+CAPITALISED = r"\p{Lu}\p{L}*+(?:['’-]++(?!\p{Lu})\p{L}++)*+"
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,7 @@ class DecontaminationParams:
 
 def _evened(t: Column) -> Column:
     """A text with its runs of capitalised words in lower case, their marks taken out again."""
-    t = F.regexp_replace(t, f"((?:\\p{{Lu}}[\\p{{L}}'’-]*(?:[^\\p{{L}}]+|$)){{{CAPITALS},}})", f"{RUN}$1{RUN}")
+    t = F.regexp_replace(t, f"((?:{CAPITALISED}(?:[^\\p{{L}}]++|$)){{{CAPITALS},}}+)", f"{RUN}$1{RUN}")
     return F.array_join(F.transform(F.split(t, RUN), lambda part, i: F.when(i % 2 == 1, F.lower(part)).otherwise(part)), "")
 
 
@@ -60,13 +63,13 @@ def template_texts(texts: DataFrame, text: str, result: str = "words") -> DataFr
         plain = F.replace(plain, F.lit(c), F.lit(""))
     df = fixed(texts, result, plain)
     # Few texts have such runs; the others are only searched for them.
-    df = fixed(df, result, F.when(F.col(result).rlike(f"(?:\\p{{Lu}}[\\p{{L}}'’-]*[^\\p{{L}}]+){{{CAPITALS - 1}}}\\p{{Lu}}"), _evened(F.col(result))).otherwise(F.col(result)))
+    df = fixed(df, result, F.when(F.col(result).rlike(f"(?:{CAPITALISED}[^\\p{{L}}]++){{{CAPITALS - 1}}}\\p{{Lu}}"), _evened(F.col(result))).otherwise(F.col(result)))
     return fixed(df, result, _template_words(F.col(result)))
 
 
 def _template_words(t: Column) -> Column:
     t = F.regexp_replace(t, r"(\p{Lu}(?<=[\p{L},;] .)[\p{L}'’-]*)", f"{NAME}$1")
-    t = F.regexp_replace(F.lower(t), r"([0-9]+(?:[.,:/][0-9]+)*)", f"{NUMBER}$1")
+    t = F.regexp_replace(F.lower(t), r"([0-9]++(?:[.,:/][0-9]++)*+)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"({NUMBER}[0-9.,:/]+ ?)({'|'.join(UNITS.split())})\b", f"$1{UNIT}$2")
     return words_of(without_punctuation(t))
 

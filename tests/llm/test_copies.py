@@ -278,6 +278,17 @@ def test_case_of_copies(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.held_items(d, b).collect()} == {(10 * i + k, i) for i in range(2) for k in range(4)}
 
 
+def test_long_runs(spark):
+    """A text of capitalised words only and a list of numbers without a blank, both very long, hold what stands in them."""
+    item = "the first printed almanac of the northern islands was sold to travellers at the harbour"
+    titled = " ".join(f"Word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(30_000))
+    listed = ",".join(map(str, range(30_000)))
+    docs = [(1, f"{titled} {item.title()}"), (2, f"{listed} {item}"), (3, titled), (4, listed)]
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(x.doc_id for x in decontaminate.held_items(d, b).collect()) == [1, 2]
+
+
 def plain_windows(text, size=8):
     words = re.sub(r"[^\w\s]|_", "", text.lower()).split()
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
