@@ -9,7 +9,9 @@ many sets show is costly: it makes as many candidates as pairs of them. Such shi
 generate none. A set with k costly shingles in its prefix can spare them as long as k is
 less than the s + 1 that it must share; else its prefix is lengthened to the whole set,
 and correspondingly more shared shingles are asked for. Pairs are counted by the cheap
-shingles that both show, and those with enough are verified on the whole texts.
+shingles that both show, and those with enough are verified on the whole texts. A whole
+set with too few cheap shingles is in no such pair, and the others meet only where as many
+as a pair must share can still follow, the rarest first.
 
 Sets that are nearly all costly (members of one large group of near copies) are compared
 with the hub of each costly shingle, its set with most costly shingles. What is then
@@ -172,20 +174,45 @@ def _both(n: str, m: str, params: JoinParams) -> Column:
     return F.ceil((F.col(n) + F.col(m)) * params.percent / (100 + params.percent))
 
 
-def _pairs(shared: DataFrame, costs: DataFrame, params: JoinParams, whole: bool) -> DataFrame:
-    """The pairs of sets (a, b) with enough cheap shingles in common. Each such shingle is in fewer than ``costly`` rows, so the pairs grow with the rows.
-
-    Of short prefixes, pairs with a set whose prefix does; of whole sets, pairs that must share
-    more than the costly shingles of one of them. Others are found elsewhere.
-    """
-    cheap = shared.where(F.col("df") < params.costly).select("token", "key", "n").distinct().join(costs.select("key", "k", "least"), "key")
-    other = cheap.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("k").alias("kb"), F.col("least").alias("lb"))
+def _pairs(shared: DataFrame, costs: DataFrame, params: JoinParams) -> DataFrame:
+    """The pairs of sets (a, b) whose prefixes have enough cheap shingles in common, of sets whose prefix does. Each such shingle is in fewer than ``costly`` rows, so the pairs grow with the rows."""
+    cheap = shared.where(F.col("df") < params.costly).select("token", "key", "n").distinct().join(costs.select("key", "least"), "key")
+    other = cheap.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("least").alias("lb"))
     near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * params.percent) & (F.col("key") < F.col("b"))
-    need = _both("n", "m", params) - F.least("k", "kb") if whole else F.greatest("least", "lb")
+    need = F.greatest("least", "lb")
     pairs = cheap.join(other, "token").where(near & (need > 0)).groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("common"), F.min(need).alias("need"))
     return pairs.where("common >= need").select("a", "b")
 
 
+def _able(shared: DataFrame, costs: DataFrame, params: JoinParams) -> DataFrame:
+    """key, n, k, least and tokens (its cheap shingles, the rarest first) of the whole sets with as many cheap shingles as they must share with a similar set."""
+    cheap = shared.where(F.col("df") < params.costly).groupBy("key", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token")))["token"].alias("tokens"))
+    able = cheap.join(costs.select("key", "k", F.greatest("least", F.lit(1)).alias("least")), "key")
+    return able.where(F.size("tokens") >= F.col("least"))
+
+
+def _met(able: DataFrame, params: JoinParams) -> DataFrame:
+    """key, b and need, what they must share, of whole sets that meet at a cheap shingle from which on both have so many.
+
+    The first shingle of all that two sets share is followed, in each of them, by all others that
+    they share. So it is not among the last of either, which therefore need not be looked at.
+    """
+    shown = able.select("key", "n", "k", F.size("tokens").alias("have"), F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - F.col("least") + 1)).alias("at", "token"))
+    shown = shown.select("token", "key", "n", "k", (F.col("have") - F.col("at")).alias("left"))
+    other = shown.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("k").alias("kb"), F.col("left").alias("left_b"))
+    near = (F.least("n", "m") * 100 >= F.greatest("n", "m") * params.percent) & (F.col("key") < F.col("b"))
+    need = _both("n", "m", params) - F.least("k", "kb")
+    return shown.join(other, "token").where(near & (need > 0) & (F.least("left", "left_b") >= need)).select("key", "b", need.alias("need"))
+
+
+def _whole_pairs(shared: DataFrame, costs: DataFrame, params: JoinParams) -> DataFrame:
+    """The pairs of whole sets (a, b) that must share more than the costly shingles of one of them and have enough cheap ones in common. Others are found elsewhere. Reads a staged table."""
+    able = staged(_able(shared, costs, params), "whole-able")
+    one, other = able.select("key", "tokens"), able.select(F.col("key").alias("b"), F.col("tokens").alias("tokens_b"))
+    pairs = _met(able, params).distinct().join(one, "key").join(other, "b")
+    return pairs.where(F.size(F.array_intersect("tokens", "tokens_b")) >= F.col("need")).select(F.col("key").alias("a"), "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, params: JoinParams, name: str) -> DataFrame:
     """The pairs (a, b) of keys whose sets are similar."""
     pairs = staged(pairs, f"{name}-pairs")
@@ -240,14 +267,14 @@ def _grouped(texts: DataFrame, params: JoinParams) -> tuple[DataFrame, DataFrame
     firsts = staged(keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("text_id").alias("text_id")), "first-ids")
     shared = _shared(_shown(texts, params, False), "shared")
     costs = _costs(shared, params, False, "costs")
-    links = _verified(_pairs(shared, costs, params, False), texts, firsts, params, "near")
+    links = _verified(_pairs(shared, costs, params), texts, firsts, params, "near")
     discard(shared)
     # Sets whose prefix doesn't do show all they have.
     longer = costs.where("least <= 0").select("key")
     again = texts.join(firsts.join(longer, "key", "left_semi").select("text_id"), "text_id", "left_semi").select(*texts.columns)
     shared = _shared(_shown(again, params, True), "shared-whole")
     costs = _costs(shared, params, True, "costs-whole")
-    links = links.unionByName(_verified(_pairs(shared, costs, params, True), texts, firsts, params, "whole"))
+    links = links.unionByName(_verified(_whole_pairs(shared, costs, params), texts, firsts, params, "whole"))
     links = _crowded(shared, costs, texts, firsts, links, params)
     groups = components(links, name="set-groups")
     rooted = firsts.join(groups, firsts["key"] == groups["node"], "left").select("key", "id", F.coalesce("root", "key").alias("root"))

@@ -88,6 +88,23 @@ def test_join_different_texts_of_one_id(spark):
     assert len(found) == len(docs) and {x.component_id for x in found} == {7}
 
 
+def test_whole_sets_meet_only_where_they_can_be_alike(spark):
+    """Texts that share a passage only make no pairs; those of a group do, each by few of its many shingles."""
+    r = random.Random(31)
+    passage, base = ([r.choice(WORDS) + r.choice(WORDS) for _ in range(n)] for n in (30, 200))
+    texts = [" ".join(passage + [r.choice(WORDS) + r.choice(WORDS) for _ in range(60)]) for _ in range(20)]
+    texts += [" ".join(base + [r.choice(WORDS) + r.choice(WORDS) for _ in range(3)]) for _ in range(6)]
+    params = ngram_join.JoinParams()
+    rows = ngram_join._texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    shared = ngram_join._shared(ngram_join._shown(rows, params, True), "test-shared")
+    costs = ngram_join._costs(shared, params, True, "test-costs")
+    key = {ngram_join.set_key(ngram_join.shingles(t.encode())) for t in texts[20:]}
+    met = ngram_join._met(ngram_join._able(shared, costs, params), params).collect()
+    # Joined by every shingle these would be 190 * 26 and 15 * 196 rows.
+    assert {x for m in met for x in (m.key, m.b)} == key and len(met) <= 15 * (196 - 149 + 1)
+    assert {(x.a, x.b) for x in ngram_join._whole_pairs(shared, costs, params).collect()} == {(a, b) for a in key for b in key if a < b}
+
+
 def normal(line):
     line = re.sub(r"[^\w\s]|_", "", line.lower())
     return re.sub(r"[ \t\x0b\x0c\r]+", " ", line).strip(" ")
