@@ -213,6 +213,18 @@ def test_lines_meet_by_similarity_alone(spark):
     assert all(i % 2 for i in gone) and len(gone) >= 0.9 * len(lines) / 2
 
 
+def test_edits_in_many_words(spark):
+    """Lines with few edits are alike in however many words the edits stand, with as many words in both or not."""
+    r = random.Random(17)
+    words = [r.choice(WORDS) + r.choice(WORDS) + r.choice(WORDS) for _ in range(40)]
+    other = [w[:-1] + "z" if i % 2 else w for i, w in enumerate(words)]
+    x = " ".join(words)
+    pairs = [(1, x, " ".join(other)), (2, x, " ".join(other[:20]) + " a " + " ".join(other[20:])), (3, x, " ".join(w[:-3] + "zzz" for w in words))]
+    assert [alike(a, b) for _, a, b in pairs] == [True, True, False]
+    df = spark.createDataFrame(pairs, "n long, x string, y string")
+    assert sorted(p.n for p in line_dedup._alike(df, line_dedup.LineParams()).collect()) == [1, 2]
+
+
 def test_recall_on_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
