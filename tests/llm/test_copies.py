@@ -213,6 +213,38 @@ def test_lines_meet_by_similarity_alone(spark):
     assert all(i % 2 for i in gone) and len(gone) >= 0.9 * len(lines) / 2
 
 
+def test_lines_meet_without_their_longest_words(spark):
+    r = random.Random(21)
+    lines = []
+    for _ in range(40):
+        words = [r.choice(WORDS) + r.choice(WORDS) for _ in range(40)]
+        other = list(words)
+        for k in r.sample(range(40), 2):
+            words[k] += r.choice(WORDS) + r.choice(WORDS)
+            other[k] = words[k][:-1] + "z"
+        lines += [" ".join(words), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {x.doc_id for x in line_dedup.dedup(df).collect() if x._n_dropped}
+    assert all(i % 2 for i in gone) and len(gone) >= 0.7 * len(lines) / 2
+
+
+@pytest.mark.parametrize("crowded", [8, 1000])
+def test_lines_that_share_a_passage(spark, monkeypatch, crowded):
+    """They meet at words of their own first; those that meet in many places are a pair once."""
+    r = random.Random(22)
+    word = lambda: r.choice(WORDS) + r.choice(WORDS) + r.choice(WORDS)
+    passage = [word() for _ in range(40)]
+    lines = [" ".join([word() for _ in range(20)] + passage) for _ in range(120)]
+    lines += [x[:-3] + "zzz" for x in lines[:10]]
+    pairs, verified = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda p, *rest: pairs.extend((min(x), max(x)) for x in p.collect()) or verified(p, *rest))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    rows = line_dedup.dedup(df, params=line_dedup.LineParams(crowded=crowded)).collect()
+    assert {x.doc_id for x in rows if x._n_dropped} == set(range(120, 130))
+    if crowded == 8:
+        assert len(pairs) < 130 * 129 / 2 / 20
+
+
 def test_edits_in_many_words(spark):
     """Lines with few edits are alike in however many words the edits stand, with as many words in both or not."""
     r = random.Random(17)
